@@ -43,33 +43,32 @@ def keep_content_words(tokens: DataFrame, lexicon: DataFrame,
         F.coalesce(F.col("kept.token"), F.array().cast("array<string>")).alias("tokens"))
 
 
-def doc_words(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """Distinct words per document with their repeats, from word runs of the lower-cased text."""
-    exploded = docs.select(doc, F.explode(word_runs(F.col(text))).alias("token"))
-    return exploded.groupBy(doc, "token").agg(F.count(F.lit(1)).alias("repeats"))
+def word_rows(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """``doc, token`` for every word run of the lower-cased text."""
+    return docs.select(doc, F.explode(word_runs(F.col(text))).alias("token"))
 
 
-def corpus_dictionary(words: DataFrame, min_docs: int = 2) -> DataFrame:
-    """Words used by at least ``min_docs`` documents."""
-    return words.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).where(
-        F.col("docs") >= min_docs).select("token", "docs")
+def corpus_dictionary(words: DataFrame, doc: str, min_docs: int = 2) -> DataFrame:
+    """``token, docs`` of words used by at least ``min_docs`` documents."""
+    per_doc = words.select(doc, "token").distinct()
+    return per_doc.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).where(
+        F.col("docs") >= min_docs)
 
 
 def unknown_word_counts(docs: DataFrame, doc: str, text: str,
-                        dictionary: DataFrame | None = None, min_docs: int = 2) -> DataFrame:
+                        dictionary: DataFrame | None = None) -> DataFrame:
     """Word occurrences outside the dictionary, per document that has any.
 
-    With the corpus itself as dictionary and ``min_docs`` 2, an unknown word has exactly one
-    document, so counting words already finds it and no join is needed; a frequent word is
-    combined on the map side to one row per task.
+    Without a dictionary (column ``token``), a word is known once two documents use it. That
+    needs no join: a word whose smallest and largest document agree is unknown, and a frequent
+    word is combined on the map side to one row per task.
     """
-    words = doc_words(docs, doc, text)
-    if dictionary is not None:
-        unknown = words.join(dictionary.select("token"), "token", "left_anti")
-        return unknown.groupBy(doc).agg(F.sum("repeats").alias("unknown_words"))
-    if min_docs == 2:
+    words = word_rows(docs, doc, text)
+    if dictionary is None:
         rare = words.groupBy("token").agg(
-            F.count(F.lit(1)).alias("docs"), F.min(doc).alias(doc),
-            F.min("repeats").alias("repeats")).where(F.col("docs") == 1)
-        return rare.groupBy(doc).agg(F.sum("repeats").alias("unknown_words"))
-    return unknown_word_counts(docs, doc, text, corpus_dictionary(words, min_docs))
+            F.count(F.lit(1)).alias("repeats"), F.min(doc).alias(doc),
+            F.max(doc).alias("_other")).where(F.col(doc) == F.col("_other"))
+    else:
+        counted = words.groupBy(doc, "token").agg(F.count(F.lit(1)).alias("repeats"))
+        rare = counted.join(dictionary.select("token"), "token", "left_anti")
+    return rare.groupBy(doc).agg(F.sum("repeats").alias("unknown_words"))

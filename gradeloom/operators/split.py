@@ -49,7 +49,7 @@ def split_quotas(sizes: DataFrame, prompt: str, label: str, test_size: float) ->
     wanted = F.ceil(F.lit(float(test_size)) * F.col("_total"))
     sized = sizes.withColumn("_total", total).withColumn("_test", wanted)
     shared = sized.withColumn(
-        "_base", F.floor((F.col("_test") * n) / F.col("_total"))
+        "_base", F.expr("_test * size div _total")
     ).withColumn("_left", (F.col("_test") * n) % F.col("_total"))
     order = Window.partitionBy(prompt).orderBy(F.desc("_left"), F.asc(label))
     spare = F.col("_test") - F.sum("_base").over(group)
