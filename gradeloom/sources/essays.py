@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from gradeloom.functions.constants import MAX_SCORE, MIN_SCORE
 from gradeloom.functions.text import blank_word_count
 from gradeloom.operators.ranking import ntile_of, number_rows
 from gradeloom.sources.tables import table
@@ -42,16 +43,28 @@ def write_essays_csv(essays: DataFrame, path: str) -> None:
      .csv(path))
 
 
-def essay_view(spark: SparkSession, folder: str) -> DataFrame:
-    """Essays over ``documents``, with nulls set on purpose.
+def scored_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, lang, score``: the score is the sixth of its language a document falls in by
+    length, ranked on narrow rows over all tasks."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "n_chars")
+    ranks = number_rows(docs, ["lang"], ["n_chars", "doc_id"], total="size")
+    return ranks.select(
+        "doc_id", "lang", ntile_of(F.col("rank"), F.col("size"), 6).alias("score"))
 
-    The score is the sixth of its language the document falls in by length; it is ranked on
-    narrow rows and over all tasks, then joined back by id.
-    """
+
+def ratings(spark: SparkSession, folder: str) -> DataFrame:
+    """Rating pairs over the documents: ``essay_id, prompt_name, score, predicted``."""
+    shifted = F.col("score") + F.col("doc_id") % 3 - 1
+    return scored_documents(spark, folder).select(
+        F.col("doc_id").alias("essay_id"), F.col("lang").alias("prompt_name"), "score",
+        F.least(F.lit(MAX_SCORE), F.greatest(F.lit(MIN_SCORE), shifted)).cast("bigint")
+        .alias("predicted"))
+
+
+def essay_view(spark: SparkSession, folder: str) -> DataFrame:
+    """Essays over ``documents``, with nulls set on purpose."""
     docs = table(spark, folder, "documents")
-    ranks = number_rows(
-        docs.select("doc_id", "lang", "n_chars"), ["lang"], ["n_chars", "doc_id"], total="size")
-    scores = ranks.select("doc_id", ntile_of(F.col("rank"), F.col("size"), 6).alias("score"))
+    scores = scored_documents(spark, folder).select("doc_id", "score")
     i = F.col("doc_id")
 
     def unless(missing, value):
