@@ -24,13 +24,16 @@ ratings AS (
     least(6, greatest(1, score + doc_id % 3 - 1)) AS predicted
   FROM scored)"""
 
-WORD_COUNT = f"CAST(len(regexp_extract_all({{}}, '[^{BLANK}]+')) AS BIGINT)"
+
+def word_count(text: str) -> str:
+    return f"CAST(len(regexp_extract_all({text}, '[^{BLANK}]+')) AS BIGINT)"
+
 
 ESSAYS = f"""
 essays AS (
   SELECT d.doc_id AS essay_id, d.doc_id AS row_id, s.score,
     CASE WHEN d.doc_id % 97 = 11 THEN NULL ELSE text END AS full_text,
-    CASE WHEN d.doc_id % 13 = 4 THEN NULL ELSE {WORD_COUNT.format('text')} END AS essay_word_count,
+    CASE WHEN d.doc_id % 13 = 4 THEN NULL ELSE {word_count('text')} END AS essay_word_count,
     CASE WHEN d.doc_id % 17 = 5 OR d.doc_id % 101 IN (40, 41) THEN NULL
          ELSE concat(d.lang, '_', source) END AS assignment,
     CASE WHEN d.doc_id % 31 = 8 OR d.doc_id % 101 = 41 THEN NULL ELSE d.lang END AS prompt_name,
@@ -140,7 +143,7 @@ content AS (
 
 KEPT = f"""
 kept AS (
-  SELECT * REPLACE (coalesce(essay_word_count, {WORD_COUNT.format('full_text')})
+  SELECT * REPLACE (coalesce(essay_word_count, {word_count('full_text')})
                     AS essay_word_count)
   FROM essays WHERE full_text IS NOT NULL)"""
 
