@@ -127,7 +127,8 @@ def _placed_sql(columns):
 SELECT row_id, coalesce(above_assignment = below_assignment, false) AS same_assignment,
   coalesce(above_prompt_name = below_prompt_name, false) AS same_prompt FROM placed_once""")
 def neighbour_agreement(spark, folder):
-    placed = im.nearest_known(kept_essays(spark, folder), "row_id", ["assignment", "prompt_name"])
+    placed = im.nearest_known(
+        im.in_slices(kept_essays(spark, folder), "row_id"), "row_id", ["assignment", "prompt_name"])
     return placed.select(
         "row_id", im.same_above_below("assignment").alias("same_assignment"),
         im.same_above_below("prompt_name").alias("same_prompt"))
@@ -139,7 +140,8 @@ NEIGHBOURS = sql.with_(sql.SCORED, sql.ESSAYS, sql.KEPT, sql.NEIGHBOUR_FILL)
 @query("filled_assignments", "W2", NEIGHBOURS + """
 SELECT row_id, assignment, prompt_name FROM filled_once""")
 def filled_assignments(spark, folder):
-    placed = im.nearest_known(kept_essays(spark, folder), "row_id", ["assignment", "prompt_name"])
+    placed = im.nearest_known(
+        im.in_slices(kept_essays(spark, folder), "row_id"), "row_id", ["assignment", "prompt_name"])
     return im.fill_assignment(placed).select("row_id", "assignment", "prompt_name")
 
 

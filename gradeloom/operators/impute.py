@@ -21,16 +21,19 @@ def drop_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return df.na.drop("any", subset=list(columns) if columns else None)
 
 
-def nearest_known(df: DataFrame, order: str, columns: Sequence[str]) -> DataFrame:
+def in_slices(df: DataFrame, order: str) -> DataFrame:
+    """``df`` range-partitioned by ``order``, with the partition as ``_slice``; staged, so the
+    slice bounds are the same for every reader."""
+    return stage(
+        df.repartitionByRange(order).withColumn("_slice", F.spark_partition_id()), "slices")
+
+
+def nearest_known(sliced: DataFrame, order: str, columns: Sequence[str]) -> DataFrame:
     """``above_<c>`` and ``below_<c>``: nearest non-null values before and after each row.
 
-    Rows are range-partitioned into slices (staged, so slice bounds are fixed). Windows run
-    inside a slice; what a slice cannot see comes from the last and first known values of
-    the other slices, a table with one row per slice.
+    Windows run inside a slice; what a slice cannot see comes from the last and first known
+    values of the other slices, a table with one row per slice.
     """
-    sliced = stage(
-        df.repartitionByRange(order).withColumn("_slice", F.spark_partition_id()), "slices")
-
     known = []
     for c in columns:
         at = F.when(F.col(c).isNotNull(), F.col(order))
@@ -52,7 +55,7 @@ def nearest_known(df: DataFrame, order: str, columns: Sequence[str]) -> DataFram
         "*", *(F.last(c, True).over(down).alias(f"_above_{c}") for c in columns)
     ).select("*", *(F.last(c, True).over(up).alias(f"_below_{c}") for c in columns))
     return local.join(carried, "_slice").select(
-        *df.columns,
+        *sliced.columns,
         *(F.coalesce(f"_above_{c}", f"_before_{c}").alias(f"above_{c}") for c in columns),
         *(F.coalesce(f"_below_{c}", f"_after_{c}").alias(f"below_{c}") for c in columns))
 
@@ -84,7 +87,7 @@ def fill_prompt(placed: DataFrame) -> DataFrame:
 
 
 def fill_forward(df: DataFrame, order: str, column: str) -> DataFrame:
-    placed = nearest_known(df, order, [column])
+    placed = nearest_known(in_slices(df, order), order, [column])
     return placed.withColumn(column, F.coalesce(column, f"above_{column}")).select(*df.columns)
 
 
@@ -133,9 +136,11 @@ def fill_from_observed(df: DataFrame, column: str, key: str = "essay_id") -> Dat
 def fill_neighbours(df: DataFrame) -> DataFrame:
     """``row_id, assignment, prompt_name, grade_level`` after all neighbour rules."""
     narrow = df.select("row_id", "assignment", "prompt_name", "grade_level")
-    first = nearest_known(narrow, "row_id", ["assignment", "prompt_name", "grade_level"])
+    sliced = in_slices(narrow, "row_id")
+    first = nearest_known(sliced, "row_id", ["assignment", "prompt_name", "grade_level"])
     first = fill_assignment(first).withColumn(
-        "grade_level", F.coalesce("grade_level", "above_grade_level")).select(*narrow.columns)
+        "grade_level", F.coalesce("grade_level", "above_grade_level")).select(*sliced.columns)
+    # Same slices, so the second pass reuses the partitioning and order of the first.
     return fill_prompt(nearest_known(first, "row_id", ["prompt_name"])).select(*narrow.columns)
 
 
@@ -145,8 +150,8 @@ def fill_missing(df: DataFrame) -> DataFrame:
     The ordered rules run on four narrow columns and are joined back by ``row_id``, so the
     texts never go through a window.
     """
-    kept = fill_word_count(drop_missing(df, ["full_text"]))
-    filled = stage(fill_neighbours(df.where(F.col("full_text").isNotNull())), "filled")
+    present = drop_missing(df, ["full_text"])
+    filled = stage(fill_neighbours(present), "filled")
+    kept = fill_from_observed(fill_by_coin(fill_word_count(present)), "race_ethnicity")
     patched = kept.drop("assignment", "prompt_name", "grade_level").join(filled, "row_id")
-    patched = fill_from_observed(fill_by_coin(patched), "race_ethnicity")
     return drop_missing(patched.select(*df.columns))
