@@ -11,7 +11,7 @@ from gradeloom.functions.constants import ENCODED
 from gradeloom.operators import profile as pf
 from gradeloom.plans.runs import encoded_essays, filled_essays
 from gradeloom.sources.essays import essay_view, scored_documents
-from gradeloom.sources.tables import table
+from gradeloom.sources.tables import spread, table
 
 ANY_NULL = " OR ".join(f"{c} IS NULL" for c in sql.ESSAY_COLUMNS)
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -97,7 +97,7 @@ def describe_essays(spark, folder):
 
 @query("describe_lineitem", "A8", sql_describe("lineitem", LINE_NUMBERS))
 def describe_lineitem(spark, folder):
-    return described(table(spark, folder, "lineitem"), LINE_NUMBERS)
+    return described(spread(table(spark, folder, "lineitem")), LINE_NUMBERS)
 
 
 def sql_correlations(source: str, columns) -> str:
@@ -125,7 +125,7 @@ def essay_correlations(spark, folder):
 
 @query("lineitem_correlations", "A9", sql_correlations("lineitem", LINE_NUMBERS))
 def lineitem_correlations(spark, folder):
-    return rounded_correlations(table(spark, folder, "lineitem"), LINE_NUMBERS)
+    return rounded_correlations(spread(table(spark, folder, "lineitem")), LINE_NUMBERS)
 
 
 @query("word_count_histogram", "A10", sql.ESSAY + """

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.functions.constants import ENCODED
 from gradeloom.operators.ranking import number_rows
-from gradeloom.sources.staging import stage
+from gradeloom.sources.staging import settle
 
 
 def label_codes(df: DataFrame, columns: Sequence[str] = ENCODED) -> DataFrame:
@@ -17,7 +17,7 @@ def label_codes(df: DataFrame, columns: Sequence[str] = ENCODED) -> DataFrame:
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("label"))
         for c in columns))).alias("cell")
     labels = df.select(cells).select("cell.*").where(F.col("label").isNotNull()).distinct()
-    return stage(
+    return settle(
         number_rows(labels, ["column"], ["label"], rank="code").select("column", "code", "label"),
         "codes")
 

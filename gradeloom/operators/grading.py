@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.functions.constants import BELL_BOUNDS
-from gradeloom.sources.staging import stage
+from gradeloom.sources.staging import settle
 
 
 def z_scores(df: DataFrame, by: Sequence[str], score: str, alambda: float = 1.0,
@@ -19,8 +19,8 @@ def z_scores(df: DataFrame, by: Sequence[str], score: str, alambda: float = 1.0,
     zero unit gives null.
     """
     unit = F.avg(score) if spread == "mean" else F.stddev_pop(score)
-    stats = stage(df.groupBy(*by).agg(F.avg(score).alias("_mean"), unit.alias("_unit")), "stats")
-    return df.join(stats, [*by]).withColumn("z", F.try_divide(
+    stats = settle(df.groupBy(*by).agg(F.avg(score).alias("_mean"), unit.alias("_unit")), "stats")
+    return df.join(stats, [*by], "left").withColumn("z", F.try_divide(
         F.col(score) - F.col("_mean"), F.col("_unit") * F.lit(float(alambda)))
     ).drop("_mean", "_unit")
 

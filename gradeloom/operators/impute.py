@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gradeloom.functions.constants import COIN_FILLS
 from gradeloom.functions.text import blank_word_count
 from gradeloom.operators.ranking import number_rows
-from gradeloom.sources.staging import stage
+from gradeloom.sources.staging import settle, stage
 
 
 def drop_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -54,7 +54,7 @@ def nearest_known(sliced: DataFrame, order: str, columns: Sequence[str]) -> Data
     local = sliced.select(
         "*", *(F.last(c, True).over(down).alias(f"_above_{c}") for c in columns)
     ).select("*", *(F.last(c, True).over(up).alias(f"_below_{c}") for c in columns))
-    return local.join(carried, "_slice").select(
+    return local.join(carried, "_slice", "left").select(
         *sliced.columns,
         *(F.coalesce(f"_above_{c}", f"_before_{c}").alias(f"above_{c}") for c in columns),
         *(F.coalesce(f"_below_{c}", f"_after_{c}").alias(f"below_{c}") for c in columns))
@@ -124,7 +124,7 @@ def fill_by_coin(df: DataFrame, key: str = "essay_id",
 def fill_from_observed(df: DataFrame, column: str, key: str = "essay_id") -> DataFrame:
     """Fill with one of the column's own values, picked by hash from their sorted list."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_value")).distinct()
-    values = stage(number_rows(values, [], ["_value"], rank="_code"), "observed")
+    values = settle(number_rows(values, [], ["_value"], rank="_code"), "observed")
     size = values.count()
     if size == 0:
         return df
@@ -153,5 +153,6 @@ def fill_missing(df: DataFrame) -> DataFrame:
     present = drop_missing(df, ["full_text"])
     filled = stage(fill_neighbours(present), "filled")
     kept = fill_from_observed(fill_by_coin(fill_word_count(present)), "race_ethnicity")
-    patched = kept.drop("assignment", "prompt_name", "grade_level").join(filled, "row_id")
+    patched = kept.drop("assignment", "prompt_name", "grade_level").join(
+        filled, "row_id", "left")
     return drop_missing(patched.select(*df.columns))

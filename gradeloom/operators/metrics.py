@@ -1,7 +1,8 @@
 """Agreement and classification metrics, per group, from integer sums.
 
-All inputs are frames of (group..., truth, predicted). Each metric is one aggregation over the
-rows; only the confusion table (classes squared per group) is touched after that.
+All inputs are frames of (group..., truth, predicted), or their confusion table, recognised by
+its ``rows`` column. Each metric reads the rows once, to count them; everything after that works
+on the confusion table (classes squared per group). Several metrics of one frame should share it.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ def checked(df: DataFrame, columns: Sequence[str], low: int = MIN_SCORE,
         for c in columns})
 
 
-def confusion(df: DataFrame, by: Sequence[str], truth: str, predicted: str) -> DataFrame:
+def confusion(df: DataFrame, by: Sequence[str], truth: str = "score",
+              predicted: str = "predicted") -> DataFrame:
     """Sparse confusion table: group, truth, predicted, rows."""
+    if "rows" in df.columns:
+        return df
     return df.groupBy(*by, truth, predicted).agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -51,10 +55,11 @@ def _wide(column: Column) -> Column:
 
 
 def _moments(df: DataFrame, by: Sequence[str], t: Column, p: Column) -> DataFrame:
+    n = F.col("rows")
     return df.groupBy(*by).agg(
-        _wide(F.lit(1)).alias("n"), _wide(t).alias("st"), _wide(p).alias("sp"),
-        _wide(t * t).alias("stt"), _wide(p * p).alias("spp"),
-        _wide((t - p) * (t - p)).alias("diff"))
+        _wide(n).alias("n"), _wide(t * n).alias("st"), _wide(p * n).alias("sp"),
+        _wide(t * t * n).alias("stt"), _wide(p * p * n).alias("spp"),
+        _wide((t - p) * (t - p) * n).alias("diff"))
 
 
 def quadratic_weighted_kappa(df: DataFrame, by: Sequence[str], truth: str = "score",
@@ -65,7 +70,8 @@ def quadratic_weighted_kappa(df: DataFrame, by: Sequence[str], truth: str = "sco
     sums of squares, so one pass of six integers replaces the matrices.
     """
     t, p = (F.col(c).cast("bigint") for c in (truth, predicted))
-    m = _moments(checked(df, [truth, predicted]), by, t, p)
+    pairs = confusion(df, by, truth, predicted)
+    m = _moments(checked(pairs, [truth, predicted]), by, t, p)
     n, diff = F.col("n"), F.col("diff")
     expected = n * F.col("stt") - F.col("st") * F.col("sp") * 2 + n * F.col("spp")
     kappa = F.lit(1.0) - (n * diff).cast("double") / expected.cast("double")
@@ -79,40 +85,41 @@ def shifted_kappa(df: DataFrame, by: Sequence[str], classes: int = MAX_SCORE,
     t, p = (F.col(c).cast("bigint") for c in (truth, predicted))
     top = classes - 1
     inside = t.between(1, top) & p.between(1, top)
-    used = _moments(df.where(inside), by, t, p)
-    groups = df.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"))
+    # Pairs outside the range count as zero rows, which keeps groups that have no others.
+    pairs = confusion(df, by, truth, predicted)
+    used = _moments(pairs.withColumn("rows", F.when(inside, F.col("rows")).otherwise(0)), by, t, p)
     n = F.col("n").cast("double")
     observed = F.col("diff").cast("double")
     expected = (F.col("n") * F.col("stt") - F.col("st") * F.col("sp") * 2
-                + F.col("n") * F.col("spp")).cast("double") / n
-    own = ((F.col("n") * F.col("stt") - F.col("st") * F.col("st")) * 2).cast("double") / n
+                + F.col("n") * F.col("spp")).cast("double")
+    expected = F.try_divide(expected, n)
+    own = ((F.col("n") * F.col("stt") - F.col("st") * F.col("st")) * 2).cast("double")
+    own = F.try_divide(own, n)
     denominator = own - expected
     flat = F.when(observed == expected, 1.0).otherwise(0.0)
-    value = F.when(F.col("n").isNull(), 0.0).when(F.abs(denominator) < 1e-10, flat).otherwise(
+    value = F.when(F.col("n") == 0, 0.0).when(F.abs(denominator) < 1e-10, flat).otherwise(
         F.lit(1.0) - (observed - expected) / denominator)
-    joined = groups.join(used, [*by], "left") if by else groups.join(
-        used.withColumn("_one", F.lit(1)), F.lit(1) == F.col("_one"), "left")
-    return joined.select(*by, value.alias("kappa"))
+    return used.select(*by, value.alias("kappa"))
 
 
 def accuracy(df: DataFrame, by: Sequence[str], truth: str = "score",
              predicted: str = "predicted") -> DataFrame:
-    right = F.sum((F.col(truth) == F.col(predicted)).cast("bigint"))
-    return df.groupBy(*by).agg(
-        (right.cast("double") / F.count(F.lit(1))).alias("accuracy"))
+    right = F.sum(F.when(F.col(truth) == F.col(predicted), F.col("rows")).otherwise(0))
+    return confusion(df, by, truth, predicted).groupBy(*by).agg(
+        (right.cast("double") / F.sum("rows")).alias("accuracy"))
 
 
 def weighted_accuracy(df: DataFrame, by: Sequence[str], weights: DataFrame | None = None,
                       truth: str = "score", predicted: str = "predicted") -> DataFrame:
     """Share of weight on rows predicted right; ``weights`` has group, truth and ``weight``.
 
-    Rows are counted per class before they meet the weights, so the join sees classes only.
+    The join sees classes only.
     """
     if weights is None:
         return accuracy(df, by, truth, predicted).withColumnRenamed("accuracy", "weighted_accuracy")
-    right = F.sum((F.col(truth) == F.col(predicted)).cast("bigint"))
-    classes = df.groupBy(*by, truth).agg(
-        right.alias("right"), F.count(F.lit(1)).alias("rows"))
+    right = F.sum(F.when(F.col(truth) == F.col(predicted), F.col("rows")).otherwise(0))
+    classes = confusion(df, by, truth, predicted).groupBy(*by, truth).agg(
+        right.alias("right"), F.sum("rows").alias("rows"))
     known = classes.join(weights.select(*by, truth, "weight"), [*by, truth], "left").withColumn(
         "weight", F.when(F.col("weight").isNotNull(), F.col("weight")).otherwise(
             F.raise_error(F.lit("no weight for a label"))))
@@ -158,13 +165,13 @@ def grade_distribution(df: DataFrame, by: Sequence[str], truth: str = "score",
                        predicted: str = "predicted") -> DataFrame:
     """Rows per grade, predicted against actual; a side without the grade is null.
 
-    Both value counts come out of one aggregation over (grade, side), not a join of two.
+    Both value counts come out of one aggregation, not a join of two.
     """
-    sides = df.select(*by, F.explode(F.array(
-        F.struct(F.col(predicted).cast("bigint").alias("grade"), F.lit(1).alias("p"),
-                 F.lit(0).alias("a")),
-        F.struct(F.col(truth).cast("bigint").alias("grade"), F.lit(0).alias("p"),
-                 F.lit(1).alias("a")))).alias("side")).select(*by, "side.*")
+    n, none = F.col("rows"), F.lit(0).cast("bigint")
+    sides = confusion(df, by, truth, predicted).select(*by, F.explode(F.array(
+        F.struct(F.col(predicted).cast("bigint").alias("grade"), n.alias("p"), none.alias("a")),
+        F.struct(F.col(truth).cast("bigint").alias("grade"), none.alias("p"), n.alias("a")),
+    )).alias("side")).select(*by, "side.*")
     sums = sides.groupBy(*by, "grade").agg(F.sum("p").alias("p"), F.sum("a").alias("a"))
     return sums.select(*by, "grade", F.nullif("p", F.lit(0)).alias("predicted"),
                        F.nullif("a", F.lit(0)).alias("actual"))

@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.functions.constants import MAX_ITER
 from gradeloom.operators.split import class_weights
-from gradeloom.sources.staging import stage
+from gradeloom.sources.staging import settle
 
 # One fit per prompt is submitted from the driver; beyond this many, group prompts first.
 MAX_PROMPTS = 1000
 PARALLEL_FITS = 8
+ROWS_PER_TASK = 20_000
 
 
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "vector") -> DataFrame:
@@ -26,8 +27,8 @@ def assemble(df: DataFrame, columns: Sequence[str], out: str = "vector") -> Data
 
 
 def weighted_train(train: DataFrame, prompt: str, label: str, scheme: str) -> DataFrame:
-    weights = stage(class_weights(train, prompt, label, scheme), "weights")
-    return train.join(weights.select(prompt, label, "weight"), [prompt, label])
+    weights = settle(class_weights(train, prompt, label, scheme), "weights")
+    return train.join(weights.select(prompt, label, "weight"), [prompt, label], "left")
 
 
 def fit_prompts(train: DataFrame, prompt: str = "prompt_name", label: str = "score",
@@ -38,7 +39,8 @@ def fit_prompts(train: DataFrame, prompt: str = "prompt_name", label: str = "sco
     ``penalty_c`` is the inverse L2 strength against the weighted loss sum; the estimator
     averages the loss over the weights, hence the regularisation 1 / (C * sum of weights).
     """
-    totals = train.groupBy(prompt).agg(F.sum("weight").alias("total")).orderBy(
+    totals = train.groupBy(prompt).agg(
+        F.sum("weight").alias("total"), F.count(F.lit(1)).alias("rows")).orderBy(
         prompt).limit(MAX_PROMPTS + 1).collect()
     if len(totals) > MAX_PROMPTS:
         raise ValueError(f"more than {MAX_PROMPTS} prompts to fit")
@@ -49,7 +51,10 @@ def fit_prompts(train: DataFrame, prompt: str = "prompt_name", label: str = "sco
             predictionCol="prediction", maxIter=max_iter, tol=1e-4,
             standardization=penalty_c is None,
             regParam=0.0 if penalty_c is None else 1.0 / (penalty_c * row["total"]))
-        return row[prompt], estimator.fit(train.where(F.col(prompt) == row[prompt]))
+        # Every iteration runs one task per partition; a small prompt should not run many.
+        partitions = -(-row["rows"] // ROWS_PER_TASK)
+        return row[prompt], estimator.fit(
+            train.where(F.col(prompt) == row[prompt]).coalesce(partitions))
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         return dict(pool.map(fit, totals))

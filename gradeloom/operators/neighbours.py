@@ -9,15 +9,20 @@ rows. Copies of one vector count once: only its k smallest ids can be neighbours
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.functions.constants import NEIGHBOURS
 from gradeloom.operators.ranking import top_per_group
-from gradeloom.sources.staging import stage
+from gradeloom.sources.staging import settle, stage
+
+# Ship the functions below with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PIVOTS = 64
 BLOCK_ROWS = 1024
@@ -93,18 +98,20 @@ def _blocks(size: str):
 
 
 def nearest(queries: DataFrame, train: DataFrame, k: int = NEIGHBOURS,
-            pivots: int = PIVOTS) -> DataFrame:
+            pivots: int | None = None) -> DataFrame:
     """``query, neighbour, d2, rank`` of the k nearest training rows in the query's group.
 
     Both inputs have ``part`` (group key), ``id`` and ``features`` (array of double).
     """
     session = train.sparkSession
     features = F.transform("features", lambda x: x.cast("double")).alias("features")
-    queries = stage(queries.select("part", F.col("id").alias("query"), features), "queries")
+    queries = settle(queries.select("part", F.col("id").alias("query"), features), "queries")
     train = train.select("part", F.col("id").alias("neighbour"), features)
     train = stage(top_per_group(train, ["part", "features"], [F.col("neighbour")], k,
                                 spread_by="neighbour").drop("rank"), "train")
 
+    if pivots is None:
+        pivots = min(PIVOTS, max(1, train.count() // BLOCK_ROWS))
     # At most `pivots` rows reach the driver; they only steer the pruning.
     chosen = train.select("neighbour", "features").orderBy(
         F.xxhash64("neighbour"), "neighbour").limit(pivots).collect()
@@ -116,7 +123,7 @@ def nearest(queries: DataFrame, train: DataFrame, k: int = NEIGHBOURS,
     located = stage(train.mapInPandas(
         _assign(centres), "part string, neighbour bigint, features array<double>, "
         "cell int, radius double"), "cells")
-    cells = stage(located.groupBy("part", "cell").agg(
+    cells = settle(located.groupBy("part", "cell").agg(
         F.count(F.lit(1)).alias("size"), F.max("radius").alias("radius")), "radii")
     # One row per group with at most `pivots` cells.
     maps = cells.groupBy("part").agg(F.sort_array(F.collect_list(
@@ -131,7 +138,7 @@ def nearest(queries: DataFrame, train: DataFrame, k: int = NEIGHBOURS,
         _route(centres, k), "part string, query bigint, features array<double>, cell int"),
         "routed")
 
-    loads = stage(routed.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("asked")).join(
+    loads = settle(routed.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("asked")).join(
         cells, ["part", "cell"]).select(
         "part", "cell", _blocks("size").alias("train_blocks"),
         _blocks("asked").alias("query_blocks")), "loads")
@@ -143,10 +150,10 @@ def nearest(queries: DataFrame, train: DataFrame, k: int = NEIGHBOURS,
     def own(id_column: str, count: str):
         return F.pmod(F.xxhash64(id_column), F.col(count)).cast("int")
 
-    left = routed.join(loads, ["part", "cell"]).withColumn(
+    left = routed.join(loads, ["part", "cell"], "left").withColumn(
         "query_block", own("query", "query_blocks")).withColumn(
         "train_block", every("train_blocks")).select(*key, "query", "features")
-    right = located.join(loads, ["part", "cell"]).withColumn(
+    right = located.join(loads, ["part", "cell"], "left").where("query_blocks is not null").withColumn(
         "train_block", own("neighbour", "train_blocks")).withColumn(
         "query_block", every("query_blocks")).select(*key, "neighbour", "features")
     partial = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gradeloom.sources.staging import stage
+from gradeloom.sources.staging import settle, stage
 
 _TASK, _SEQ = "_task", "_seq"
 
@@ -32,12 +32,12 @@ def _with_offsets(sliced: DataFrame, by: Sequence[str], size: Column) -> DataFra
     offsets = totals.withColumn(
         "_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0))
     ).withColumn("_total", F.sum("_size").over(group)).drop("_size")
-    offsets = stage(offsets, "offsets")
+    offsets = settle(offsets, "offsets")
     null_safe = [sliced[k].eqNullSafe(offsets[k]) for k in by] + [sliced[_TASK] == offsets[_TASK]]
     condition = null_safe[0]
     for term in null_safe[1:]:
         condition = condition & term
-    return sliced.join(offsets, condition).select(sliced["*"], "_start", "_offset", "_total")
+    return sliced.join(offsets, condition, "left").select(sliced["*"], "_start", "_offset", "_total")
 
 
 def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column | str],

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gradeloom.functions.constants import SPLIT_SEED
-from gradeloom.sources.staging import stage
+from gradeloom.sources.staging import settle
 
 
 def mark_by_quota(df: DataFrame, key: str, groups: Sequence[str], quota_of, seed: int,
@@ -21,14 +21,14 @@ def mark_by_quota(df: DataFrame, key: str, groups: Sequence[str], quota_of, seed
     digest = F.md5(F.concat(F.col(key).cast("string"), F.lit("|"), F.lit(str(seed))))
     keyed = df.withColumn("_hash", digest).withColumn(
         "_cell", F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int"))
-    cells = stage(keyed.groupBy(*groups, "_cell").agg(F.count(F.lit(1)).alias("rows")), "cells")
+    cells = settle(keyed.groupBy(*groups, "_cell").agg(F.count(F.lit(1)).alias("rows")), "cells")
     quotas = quota_of(cells.groupBy(*groups).agg(F.sum("rows").alias("size")))
     before = Window.partitionBy(*groups).orderBy("_cell").rowsBetween(
         Window.unboundedPreceding, -1)
     counted = cells.withColumn("_before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
     edges = counted.join(quotas, [*groups]).where(
         (F.col("_before") < F.col("quota")) & (F.col("quota") <= F.col("_before") + F.col("rows")))
-    edges = stage(edges.select(
+    edges = settle(edges.select(
         *groups, F.col("_cell").alias("_edge"),
         (F.col("quota") - F.col("_before")).alias("_take")), "edges")
     placed = keyed.join(edges, [*groups], "left")

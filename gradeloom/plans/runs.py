@@ -75,7 +75,7 @@ def feature_table(filled: DataFrame, n: int = TOP_N) -> DataFrame:
     scores = score_documents(essay_tokens(filled), n).select(
         F.col("doc_key").alias("essay_id"), F.col("similarity").alias("similarity_score"))
     features = add_features(filled.select("essay_id", "full_text")).drop("full_text")
-    return stage(features.join(scores, "essay_id"), "features")
+    return stage(features.join(scores, "essay_id", "left"), "features")
 
 
 def similarity_table(filled: DataFrame, lexicon: DataFrame, n: int = TOP_N) -> DataFrame:
@@ -92,6 +92,7 @@ def scores_of(predictions: DataFrame, weights: DataFrame, model: str,
               by: Sequence[str] = ("prompt_name",)) -> DataFrame:
     """Every metric and the grade distribution of a prediction table, in long form."""
     by = list(by)
+    predictions = stage(metrics.confusion(predictions, by), "confusion")
     parts = [
         metrics.quadratic_weighted_kappa(predictions, by),
         metrics.weighted_accuracy(predictions, by, weights),

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from gradeloom.functions.constants import MAX_SCORE, MIN_SCORE
 from gradeloom.functions.text import blank_word_count
 from gradeloom.operators.ranking import ntile_of, number_rows
-from gradeloom.sources.tables import table
+from gradeloom.sources.staging import settle
+from gradeloom.sources.tables import spread, table
 
 ESSAY_SCHEMA = T.StructType([
     T.StructField("essay_id", T.LongType()),
@@ -48,8 +49,8 @@ def scored_documents(spark: SparkSession, folder: str) -> DataFrame:
     length, ranked on narrow rows over all tasks."""
     docs = table(spark, folder, "documents").select("doc_id", "lang", "n_chars")
     ranks = number_rows(docs, ["lang"], ["n_chars", "doc_id"], total="size")
-    return ranks.select(
-        "doc_id", "lang", ntile_of(F.col("rank"), F.col("size"), 6).alias("score"))
+    return settle(ranks.select(
+        "doc_id", "lang", ntile_of(F.col("rank"), F.col("size"), 6).alias("score")), "scores")
 
 
 def ratings(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,14 +64,14 @@ def ratings(spark: SparkSession, folder: str) -> DataFrame:
 
 def essay_view(spark: SparkSession, folder: str) -> DataFrame:
     """Essays over ``documents``, with nulls set on purpose."""
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"), "doc_id")
     scores = scored_documents(spark, folder).select("doc_id", "score")
     i = F.col("doc_id")
 
     def unless(missing, value):
         return F.when(missing, F.lit(None)).otherwise(value)
 
-    return docs.join(scores, "doc_id").select(
+    return docs.join(scores, "doc_id", "left").select(
         i.alias("essay_id"), i.alias("row_id"), "score",
         unless(i % 97 == 11, F.col("text")).alias("full_text"),
         unless(i % 13 == 4, blank_word_count(F.col("text"))).alias("essay_word_count"),

@@ -4,7 +4,8 @@ A staged table does three jobs: work that several steps need is done once, linea
 storage that outlives any executor, and the planner sees the table's true size. The last
 point is why no module of this package gives a broadcast hint: a small staged table is under
 ``spark.sql.autoBroadcastJoinThreshold`` and gets broadcast, a large one gets a shuffled join
-with adaptive skew handling.
+with adaptive skew handling. Lookups are written as left joins: only the looked-up side can
+then be broadcast, and the rows keep their partitioning.
 """
 
 from __future__ import annotations
@@ -38,6 +39,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Stage a table about to be looked up, unless the planner's own bound already says small.
+
+    Estimates only shrink by what the planner can prove, so a table derived from large input
+    counts as large until it is written and its true size is known.
+    """
+    bound = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size <= bound else stage(df, label)
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Delete every table staged so far; frames that still read them become unusable."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/staged")
