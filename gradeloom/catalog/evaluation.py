@@ -80,7 +80,7 @@ def overall_kappa(spark, folder):
     return rounded(mt.quadratic_weighted_kappa(ratings(spark, folder), []), ["kappa"], 9)
 
 
-@query("shifted_kappa", "E2", PAIRS + SUMS.format(
+@query("shifted_kappa", "E2 P9", PAIRS + SUMS.format(
     where="WHERE score BETWEEN 1 AND 5 AND predicted BETWEEN 1 AND 5") + """
 , parts AS (
   SELECT prompt_name, diff::DOUBLE AS o, (n * stt - 2 * st * sp + n * spp)::DOUBLE / n AS e,

@@ -29,7 +29,7 @@ def rows_with_nulls_after_fill(spark, folder):
     return pf.rows_with_nulls(filled_essays(essay_view(spark, folder)))
 
 
-@query("frame_shape", "P10 P9", """
+@query("frame_shape", "P10", """
 SELECT count(*) AS rows, 11::BIGINT AS columns FROM lineitem""")
 def frame_shape(spark, folder):
     return pf.shape(table(spark, folder, "lineitem"))
@@ -75,18 +75,18 @@ def mean_scores(spark, folder):
 
 def sql_describe(source: str, columns) -> str:
     return " UNION ALL ".join(f"""
-SELECT '{c}' AS "column", count({c}) AS "count", round(avg({c}), 6) AS mean,
-  round(stddev_samp({c}), 6) AS std, min({c})::DOUBLE AS min,
-  round(quantile_cont({c}::DOUBLE, 0.25), 6) AS q25,
-  round(quantile_cont({c}::DOUBLE, 0.5), 6) AS q50,
-  round(quantile_cont({c}::DOUBLE, 0.75), 6) AS q75, max({c})::DOUBLE AS max
+SELECT '{c}' AS "column", count({c}) AS "count", round(avg({c}), 7) AS mean,
+  round(stddev_samp({c}), 7) AS std, min({c})::DOUBLE AS min,
+  round(quantile_cont({c}::DOUBLE, 0.25), 7) AS q25,
+  round(quantile_cont({c}::DOUBLE, 0.5), 7) AS q50,
+  round(quantile_cont({c}::DOUBLE, 0.75), 7) AS q75, max({c})::DOUBLE AS max
 FROM {source}""" for c in columns)
 
 
 def described(df, columns):
     out = pf.describe(df, columns)
     return out.withColumns(
-        {c: F.round(c, 6) for c in ("mean", "std", "q25", "q50", "q75")})
+        {c: F.round(c, 7) for c in ("mean", "std", "q25", "q50", "q75")})
 
 
 @query("describe_essays", "A8", sql.ESSAY + sql_describe(

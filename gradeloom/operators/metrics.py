@@ -97,7 +97,8 @@ def shifted_kappa(df: DataFrame, by: Sequence[str], classes: int = MAX_SCORE,
     own = F.try_divide(own, n)
     denominator = own - expected
     flat = F.when(observed == expected, 1.0).otherwise(0.0)
-    value = F.when(F.col("n") == 0, 0.0).when(F.abs(denominator) < 1e-10, flat).otherwise(
+    value = F.when(F.col("n").isNull(), F.raise_error(F.lit("no ratings"))).when(
+        F.col("n") == 0, 0.0).when(F.abs(denominator) < 1e-10, flat).otherwise(
         F.lit(1.0) - (observed - expected) / denominator)
     return used.select(*by, value.alias("kappa"))
 

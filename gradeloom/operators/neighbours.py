@@ -24,7 +24,7 @@ from gradeloom.sources.staging import settle, stage
 # Ship the functions below with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-PIVOTS = 64
+PIVOTS = 256
 BLOCK_ROWS = 1024
 # Slack for rounding in pruning distances; it can only widen the search.
 SLACK = 1e-9

@@ -49,12 +49,18 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) ->
     """
     counts = _cells(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
     placed = running_total(counts, ["column"], ["value"], "rows")
-    at = F.col("share") * (F.col("total") - 1)
-    marks = placed.withColumn("share", F.explode(F.array(*(F.lit(s) for s in shares))))
-    # A share falls between two neighbouring rows; keep the values that hold either of them.
-    low, high = F.floor(at), F.ceil(at)
     last = F.col("before") + F.col("rows") - 1
-    hit = marks.where((F.col("before") <= high) & (last >= low))
+
+    # A share falls between two neighbouring rows; keep the values that hold either of them.
+    def holds(share):
+        at = share * (F.col("total") - 1)
+        return (F.col("before") <= F.ceil(at)) & (last >= F.floor(at))
+
+    few = placed.where(reduce(or_, (holds(F.lit(s)) for s in shares)))
+    hit = few.withColumn("share", F.explode(F.array(*(F.lit(s) for s in shares)))).where(
+        holds(F.col("share")))
+    at = F.col("share") * (F.col("total") - 1)
+    low = F.floor(at)
     return hit.groupBy("column", "share").agg(
         F.min("value").alias("_lo"), F.max("value").alias("_hi"),
         F.max(at - low).alias("_part")).select(
@@ -65,14 +71,16 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) ->
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``column`` with count, mean, sample deviation, minimum, exact quartiles and maximum."""
     columns = list(columns or numeric_columns(df))
-    basics = _cells(df, columns).groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
+    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = df.agg(*(f(F.col(c).cast("double")).alias(f"{name}_{i}")
+                    for i, c in enumerate(columns) for name, f in measures.items()))
+    basics = wide.select(F.explode(F.array(*(
+        F.struct(F.lit(c).alias("column"), *(F.col(f"{name}_{i}").alias(name) for name in measures))
+        for i, c in enumerate(columns)))).alias("cell")).select("cell.*")
     names = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
     quartiles = quantiles(df, columns, list(names)).groupBy("column").agg(*(
         F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for s, n in names.items()))
-    return basics.join(quartiles, "column").select(
+    return basics.join(quartiles, "column", "left").select(
         "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 

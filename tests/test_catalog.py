@@ -36,6 +36,26 @@ def test_oracles_name_registered_queries():
     assert set(ORACLES) <= set(QUERIES)
 
 
+@pytest.mark.parametrize("name", [
+    "set_similarity", "content_word_filter", "filled_essays", "encoded_essays", "stratified_split",
+    "weighted_accuracy", "nearest_neighbours", "neighbour_votes", "describe_lineitem",
+    "expected_confusion", "text_features", "spelling_errors_by_dictionary"])
+def test_no_pairs_of_everything(spark, folder, name):
+    plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_scan_reads_needed_columns_only(spark, folder):
+    plan = QUERIES["return_flag_counts"](spark, folder)._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<l_returnflag:string>" in plan
+
+
+def test_prompt_filter_reaches_the_scan(spark, folder):
+    from gradeloom.sources.tables import table
+    df = table(spark, folder, "documents").where("lang = 'en'").select("doc_id")
+    assert "EqualTo(lang,en)" in df._jdf.queryExecution().toString()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
     assert entry.entry(spark).columns == ["doc_key", "group_key", "similarity"]

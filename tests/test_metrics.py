@@ -77,6 +77,20 @@ def test_shifted_kappa(spark, by):
         assert got == pytest.approx(plain_shifted(t, p), abs=1e-9)
 
 
+def test_shifted_kappa_needs_ratings(spark):
+    with pytest.raises(Exception, match="no ratings"):
+        mt.shifted_kappa(pairs(spark, [1], [1]).where("score > 1"), []).collect()
+
+
+def test_metrics_accept_the_confusion_table(spark):
+    df = pairs(spark, [1, 2, 3, 3, 5], [1, 2, 2, 3, 6])
+    table = mt.confusion(df, ["g"])
+    for metric in (mt.quadratic_weighted_kappa, mt.shifted_kappa, mt.accuracy, mt.evaluate,
+                   mt.class_report, mt.grade_distribution):
+        assert sorted(map(str, metric(df, ["g"]).collect())) == sorted(
+            map(str, metric(table, ["g"]).collect()))
+
+
 def test_weighted_accuracy_needs_every_weight(spark):
     df = pairs(spark, [1, 1, 2], [1, 2, 2])
     weights = spark.createDataFrame([("p", 1, 0.5), ("p", 2, 2.0)], "g string, score int, weight double")
