@@ -8,7 +8,7 @@ from gradeloom.catalog import sql
 from gradeloom.catalog.registry import query
 from gradeloom.catalog.similarity import document_tokens, tagged_tokens
 from gradeloom.operators import grading as gr, lexicon as lx, similarity as sm
-from gradeloom.operators.models import assemble, fit_prompts, predict, weighted_train
+from gradeloom.operators.models import assemble, fit_and_predict, weighted_train
 from gradeloom.operators.neighbours import nearest, vote
 from gradeloom.operators.split import stratified_split
 from gradeloom.plans import runs
@@ -132,31 +132,32 @@ def embedding_rows(spark, folder):
         "essay_id", "prompt_name", "score", "is_test", "vector")
 
 
-def _fitted(rows, penalty_c):
-    train = stage(weighted_train(
-        rows.where(~F.col("is_test")), "prompt_name", "score", "exponential"), "train")
-    return fit_prompts(train, penalty_c=penalty_c)
+KEEP = ["essay_id", "prompt_name", "score"]
 
 
-KEEP = ["essay_id", "prompt_name", "score"]
+def _graded(rows, penalty_c, **options):
+    train = stage(weighted_train(
+        rows.where(~F.col("is_test")), "prompt_name", "score", "exponential"), "train")
+    return fit_and_predict(
+        train, rows.where("is_test"), KEEP, penalty_c=penalty_c, **options)
 
 
 @query("logistic_grades", "M1 M3")
 def logistic_grades(spark, folder):
     rows = embedding_rows(spark, folder)
-    return predict(_fitted(rows, None), rows.where("is_test"), KEEP)
+    return _graded(rows, None)
 
 
 @query("penalised_logistic_grades", "M2 M3")
 def penalised_logistic_grades(spark, folder):
     rows = embedding_rows(spark, folder)
-    return predict(_fitted(rows, 1.0), rows.where("is_test"), KEEP)
+    return _graded(rows, 1.0)
 
 
 @query("class_probabilities", "M10")
 def class_probabilities(spark, folder):
     rows = embedding_rows(spark, folder)
-    scored = predict(_fitted(rows, 1.0), rows.where("is_test"), KEEP, probabilities=True)
+    scored = _graded(rows, 1.0, probabilities=True)
     return scored.select("essay_id", F.posexplode("probability").alias("label", "probability"))
 
 

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from itertools import batched
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from gradeloom.functions.constants import MAX_ITER
 from gradeloom.operators.split import class_weights
-from gradeloom.sources.staging import settle
+from gradeloom.sources.staging import fresh_path, settle
 
-# One fit per prompt is submitted from the driver; beyond this many, group prompts first.
-MAX_PROMPTS = 1000
+# Fits submitted at the same time.
 PARALLEL_FITS = 8
 ROWS_PER_TASK = 20_000
 
@@ -31,20 +31,22 @@ def weighted_train(train: DataFrame, prompt: str, label: str, scheme: str) -> Da
     return train.join(weights.select(prompt, label, "weight"), [prompt, label], "left")
 
 
+def prompt_sizes(train: DataFrame, prompt: str) -> Iterator[Row]:
+    """Weight and rows per prompt, read prompt by prompt."""
+    return train.groupBy(prompt).agg(
+        F.sum("weight").alias("total"), F.count(F.lit(1)).alias("rows")).orderBy(
+        prompt).toLocalIterator()
+
+
 def fit_prompts(train: DataFrame, prompt: str = "prompt_name", label: str = "score",
                 vector: str = "vector", penalty_c: float | None = None,
-                max_iter: int = MAX_ITER) -> dict[object, LogisticRegressionModel]:
+                max_iter: int = MAX_ITER,
+                sizes: Iterable[Row] | None = None) -> dict[object, LogisticRegressionModel]:
     """A model per prompt from rows with ``weight``; fits run side by side, each distributed.
 
     ``penalty_c`` is the inverse L2 strength against the weighted loss sum; the estimator
     averages the loss over the weights, hence the regularisation 1 / (C * sum of weights).
     """
-    totals = train.groupBy(prompt).agg(
-        F.sum("weight").alias("total"), F.count(F.lit(1)).alias("rows")).orderBy(
-        prompt).limit(MAX_PROMPTS + 1).collect()
-    if len(totals) > MAX_PROMPTS:
-        raise ValueError(f"more than {MAX_PROMPTS} prompts to fit")
-
     def fit(row):
         estimator = LogisticRegression(
             family="multinomial", featuresCol=vector, labelCol=label, weightCol="weight",
@@ -57,7 +59,7 @@ def fit_prompts(train: DataFrame, prompt: str = "prompt_name", label: str = "sco
             train.where(F.col(prompt) == row[prompt]).coalesce(partitions))
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        return dict(pool.map(fit, totals))
+        return dict(pool.map(fit, prompt_sizes(train, prompt) if sizes is None else sizes))
 
 
 def predict(models: dict[object, LogisticRegressionModel], rows: DataFrame, keep: Sequence[str],
@@ -69,3 +71,22 @@ def predict(models: dict[object, LogisticRegressionModel], rows: DataFrame, keep
         return scored.select(*keep, F.col("prediction").cast("bigint").alias("predicted"), *extra)
 
     return reduce(DataFrame.unionByName, (one(k, m) for k, m in models.items()))
+
+
+def fit_and_predict(train: DataFrame, rows: DataFrame, keep: Sequence[str],
+                    prompt: str = "prompt_name", probabilities: bool = False,
+                    **options) -> DataFrame:
+    """Predictions of every prompt's model for its ``rows``, as a staged table.
+
+    Prompts are handled in batches, so neither the driver nor a plan holds all models.
+    """
+    spark = train.sparkSession
+    path, schema = fresh_path(spark, "predicted"), None
+    for sizes in batched(prompt_sizes(train, prompt), PARALLEL_FITS):
+        models = fit_prompts(train, prompt, sizes=sizes, **options)
+        part = predict(models, rows, keep, prompt, probabilities)
+        part.write.mode("append").parquet(path)
+        schema = part.schema
+    if schema is None:
+        raise ValueError("no training rows")
+    return spark.read.schema(schema).parquet(path)

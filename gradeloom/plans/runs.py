@@ -19,7 +19,7 @@ from gradeloom.operators.features import FEATURES, add_features
 from gradeloom.operators.grading import bell_curve_grades
 from gradeloom.operators.impute import fill_missing
 from gradeloom.operators.lexicon import keep_content_words
-from gradeloom.operators.models import assemble, fit_prompts, predict, weighted_train
+from gradeloom.operators.models import assemble, fit_and_predict, weighted_train
 from gradeloom.operators.neighbours import nearest, vote
 from gradeloom.operators.ngrams import token_table
 from gradeloom.operators.similarity import score_documents
@@ -129,8 +129,9 @@ def grade_models(frame: DataFrame, columns: Sequence[str], settings: Settings,
             F.col("_prompt").alias("prompt_name"), "essay_id", "score", "is_test", "vector")
         known = stage(weighted_train(
             rows.where(~F.col("is_test")), "prompt_name", "score", settings.weighting), "train")
-        models = fit_prompts(known, penalty_c=settings.penalty_c, max_iter=settings.max_iter)
-        predicted = stage(predict(models, rows.where("is_test"), keep), "predicted")
+        predicted = fit_and_predict(
+            known, rows.where("is_test"), keep, penalty_c=settings.penalty_c,
+            max_iter=settings.max_iter)
         results.append(scores_of(predicted, weights, f"{label}_logistic"))
     if "neighbours" in settings.models:
         def points(df):

@@ -87,6 +87,17 @@ def test_regression_separates_clusters_per_prompt(spark, penalty):
     assert all(abs(sum(r.probability) - 1) < 1e-9 for r in got.collect())
 
 
+def test_prompts_beyond_one_batch(spark, monkeypatch):
+    from gradeloom.operators import models as md
+    monkeypatch.setattr(md, "PARALLEL_FITS", 2)
+    df = assemble(spark.createDataFrame(
+        [(i, f"p{i % 5}", 1 + i // 5 % 2, float(i // 5 % 2)) for i in range(50)],
+        "essay_id bigint, prompt_name string, score int, x double"), ["x"])
+    train = weighted_train(df, "prompt_name", "score", "exponential")
+    got = md.fit_and_predict(train, df, ["essay_id", "prompt_name", "score"], max_iter=50)
+    assert got.count() == 50 and got.where("score != predicted").count() == 0
+
+
 def test_absent_classes_are_never_predicted(spark):
     df = assemble(spark.createDataFrame(
         [(i, "p", 2 if i % 2 else 6, float(i % 2)) for i in range(40)],
