@@ -178,7 +178,13 @@ def main_run(spark, folder):
     return runs.main_run(essay_view(spark, folder), settings)
 
 
-@query("bell_curve_distribution", "M6 E5", None)
+@query("bell_curve_distribution", "M6 E5", BELL + f"""
+, {sql.SCORED.strip()}
+, graded AS (SELECT z.group_key AS prompt_name, s.score, {sql_grade('z.z')} AS grade
+             FROM z JOIN scored s ON s.doc_id = z.doc_key)
+, p AS (SELECT prompt_name, grade, count(*) AS predicted FROM graded GROUP BY 1, 2)
+, t AS (SELECT prompt_name, score AS grade, count(*) AS actual FROM graded GROUP BY 1, 2)
+SELECT prompt_name, grade, predicted, actual FROM p FULL JOIN t USING (prompt_name, grade)""")
 def bell_curve_distribution(spark, folder):
     from gradeloom.operators.metrics import grade_distribution
     graded = gr.bell_curve_grades(document_scores(spark, folder), ["group_key"], "similarity")

@@ -47,6 +47,8 @@ class Settings:
     weighting: str = "exponential"
     alambda: float = 1.0
     k: int = NEIGHBOURS
+    # Essays the frequent n-grams are drawn from: "all" of the prompt, or its "train" rows.
+    fit_on: str = "all"
 
 
 EXPERIMENT = Settings(seed=EXPERIMENT_SEED, penalty_c=1.0)
@@ -70,19 +72,35 @@ def encoded_essays(filled: DataFrame) -> DataFrame:
     return encode(filled.drop("full_text"), label_codes(filled))
 
 
-def feature_table(filled: DataFrame, n: int = TOP_N) -> DataFrame:
+def list_source(filled: DataFrame, settings: Settings) -> DataFrame | None:
+    """Ids of the essays lists are drawn from; None for all.
+
+    Split membership depends on id, prompt and score only, so it is known before features are.
+    """
+    if settings.fit_on == "all":
+        return None
+    split = stratified_split(filled.select("essay_id", "prompt_name", "score"),
+                             test_size=settings.test_size, seed=settings.seed)
+    return stage(
+        split.where(~F.col("is_test")).select(F.col("essay_id").alias("doc_key")), "list_source")
+
+
+def feature_table(filled: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The ten features and the similarity score per essay, staged once for later runs."""
-    scores = score_documents(essay_tokens(filled), n).select(
+    scores = score_documents(
+        essay_tokens(filled), settings.n, list_source(filled, settings)).select(
         F.col("doc_key").alias("essay_id"), F.col("similarity").alias("similarity_score"))
     features = add_features(filled.select("essay_id", "full_text")).drop("full_text")
     return stage(features.join(scores, "essay_id", "left"), "features")
 
 
-def similarity_table(filled: DataFrame, lexicon: DataFrame, n: int = TOP_N) -> DataFrame:
+def similarity_table(filled: DataFrame, lexicon: DataFrame,
+                     settings: Settings = EXPERIMENT) -> DataFrame:
     """The five similarity columns per essay."""
+    n, source = settings.n, list_source(filled, settings)
     tokens = stage(essay_tokens(filled), "tokens")
-    plain = score_documents(tokens, n).select("doc_key", "similarity", "dice", "jaccard")
-    content = score_documents(keep_content_words(tokens, lexicon), n).select(
+    plain = score_documents(tokens, n, source).select("doc_key", "similarity", "dice", "jaccard")
+    content = score_documents(keep_content_words(tokens, lexicon), n, source).select(
         "doc_key", F.col("similarity").alias("nav_similarity"))
     return plain.join(content, "doc_key").withColumn("tfidf", F.lit(1.0)).select(
         F.col("doc_key").alias("essay_id"), *SIMILARITIES)
@@ -158,7 +176,7 @@ def main_run(essays: DataFrame, settings: Settings = Settings()) -> DataFrame:
     encoded = stage(encoded_essays(filled), "encoded")
     base = grade_models(encoded, BASE_COLUMNS, Settings(
         test_size=settings.test_size, seed=settings.seed, max_iter=settings.max_iter), "base")
-    full = stage(encoded.join(feature_table(filled, settings.n), "essay_id"), "full")
+    full = stage(encoded.join(feature_table(filled, settings), "essay_id"), "full")
     return base.unionByName(
         grade_models(full, MAIN_COLUMNS, settings, "main", "similarity_score"))
 
@@ -169,5 +187,5 @@ def experiment_run(essays: DataFrame, lexicon: DataFrame, settings: Settings = E
     filled = filled_essays(essays)
     features = add_features(filled.select("essay_id", "full_text")).drop("full_text")
     frame = encoded_essays(filled).join(features, "essay_id").join(
-        similarity_table(filled, lexicon, settings.n), "essay_id")
+        similarity_table(filled, lexicon, settings), "essay_id")
     return grade_models(stage(frame, "full"), columns, settings, "experiment", "similarity")

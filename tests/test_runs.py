@@ -29,10 +29,11 @@ def test_main_run(spark, folder):
           {"base_logistic", "main_bell", "main_logistic", "main_neighbours"})
 
 
-@pytest.mark.parametrize("columns", [runs.EXPERIMENT_COLUMNS, runs.NARROW_COLUMNS])
-def test_experiment_run(spark, folder, columns):
+@pytest.mark.parametrize("columns,fit_on", [
+    (runs.EXPERIMENT_COLUMNS, "all"), (runs.NARROW_COLUMNS, "train")])
+def test_experiment_run(spark, folder, columns, fit_on):
     lexicon = stage(build_lexicon(tagged_tokens(document_tokens(spark, folder))), "lexicon")
-    settings = runs.Settings(seed=7362, penalty_c=1.0, **QUICK)
+    settings = runs.Settings(seed=7362, penalty_c=1.0, fit_on=fit_on, **QUICK)
     check(runs.experiment_run(essay_view(spark, folder), lexicon, settings, columns),
           {"experiment_logistic"})
 
