@@ -4,11 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeloom.llm.common import documents
 from gradeloom.llm.exact_dedup import exact_duplicates
+from gradeloom.llm.html_extract import extract_text
+from gradeloom.llm.license_scan import license_notices
+from gradeloom.llm.packing import pack
 from gradeloom.llm.simhash import near_duplicates
+from gradeloom.llm.token_counts import token_counts
+from gradeloom.llm.topk_search import top_k, usable
+from gradeloom.llm.toxicity import toxicity
+
+CATEGORIES = ("low_quality", "toxic")
+
+
+def category_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id and one 0/1 column per category of the chain."""
+    return spark.read.parquet(f"{folder}/labels.parquet").select(
+        "doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+
+
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_notices(documents(spark, folder))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,8 +42,28 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(documents(spark, folder))
 
 
+def op7_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").where(usable(F.col("embedding")))
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(64.0) * x.cast("double")))
+    return top_k(rows.select("vec_id", whole.alias("values")), "vec_id % 20 = 0")
+
+
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(documents(spark, folder), category_labels(spark, folder), CATEGORIES)
+
+
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_simhash_near_dedup, op6_exact_dedup)}
+    f.__name__: f for f in (
+        op1_html_extraction, op2_license_scan, op5_simhash_near_dedup, op6_exact_dedup,
+        op7_topk_search, op8_token_counts, op9_toxicity, op10_packing)}
 
 ORACLES = {
     "op6_exact_dedup": r"""
@@ -29,4 +72,12 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = min(doc_id) OVER g AS kept, sha256(body) AS text_sha256
         FROM t WINDOW g AS (PARTITION BY body)""",
+    "op7_topk_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS w
+                   FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.w, c.w)::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+        SELECT query_id, rank, vec_id, score FROM (
+            SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER
+                   AS rank FROM s) WHERE rank <= 20""",
 }
