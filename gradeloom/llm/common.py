@@ -64,10 +64,14 @@ def worker_state(key: str, build: Callable[[], object]) -> object:
     return found
 
 
-def text_bytes(text: Column) -> Column:
-    """UTF-8 bytes of a text, null as empty."""
-    return F.coalesce(text, F.lit("")).cast("binary")
+# pandas turns integers with nulls into doubles, which would round large ids: a null id visits
+# Python as the smallest integer.
+NO_ID = -2**63
 
 
-def slots(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def shown_id(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("bigint"), F.lit(NO_ID)).alias(name)
+
+
+def hidden_id(name: str) -> Column:
+    return F.nullif(F.col(name), F.lit(NO_ID)).alias(name)

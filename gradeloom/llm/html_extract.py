@@ -34,7 +34,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.llm.common import Scratch
+from gradeloom.llm.common import Scratch, hidden_id, shown_id
 
 THRESHOLD = 0.2
 MIN_PAGES = 5
@@ -87,7 +87,7 @@ DIGITS = re.compile(r"\d+")
 class Node:
     """One element. ``style`` is the hash of its path in the host's style tree."""
 
-    __slots__ = ("tag", "parent", "children", "style", "attributed", "cut", "main", "size")
+    __slots__ = ("tag", "parent", "children", "style", "attributed", "cut", "main")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
@@ -115,7 +115,6 @@ class Node:
                 layout = layout or tag == "header" or bool(words & HEADER_WORDS)
             # 2: left out by what it declares to be, unless the article turns out to be in it.
             self.cut = 1 if self.cut else 2 if layout else 0
-        self.size = 0
 
 
 def parse(page: str) -> Node:
@@ -142,9 +141,8 @@ def parse(page: str) -> Node:
             if node is not None and node.parent is not None and (tag in BLOCK or not crossed):
                 at = node.parent
             continue
-        for closed in (CLOSES.get(tag),):
-            if not closed:
-                continue
+        closed = CLOSES.get(tag)
+        if closed:
             stop = KEEPS_OPEN.get(tag, ())
             node, last = at, None
             while node.parent is not None and node.tag not in stop:
@@ -349,5 +347,6 @@ def extract_text(pages: DataFrame, threshold: float = THRESHOLD,
                                 "n_chars": [len(t) for t in texts]})
 
     return rows.join(low, "site", "left").select(
-        F.col("page_id").cast("bigint"), "url", "html", "low").mapInPandas(
-        run, "page_id bigint, url string, text string, n_chars bigint")
+        shown_id("page_id"), "url", "html", "low").mapInPandas(
+        run, "page_id bigint, url string, text string, n_chars bigint"
+    ).withColumn("page_id", hidden_id("page_id"))

@@ -22,6 +22,8 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from gradeloom.llm.common import hidden_id, shown_id
+
 LEVEL = 19
 TOLERANCE = 0.1
 
@@ -188,9 +190,10 @@ def license_notices(docs: DataFrame, templates: dict[str, str] | None = None,
                     for key, text in zip(b["doc_id"], b["text"]) for n in scan.notices(text)]
             yield pd.DataFrame(rows, columns=[
                 "doc_id", "start", "length", "license_id", "plain_bytes", "given_bytes", "saved",
-                "missing", "extra", "confirmed"]).astype({"doc_id": "Int64"})
+                "missing", "extra", "confirmed"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").where(
+    return docs.select(shown_id("doc_id"), "text").where(
         F.col("text").rlike(f"(?i){CUES}")).mapInPandas(
         run, "doc_id bigint, start bigint, length bigint, license_id string, plain_bytes bigint, "
-             "given_bytes bigint, saved bigint, missing string, extra string, confirmed boolean")
+             "given_bytes bigint, saved bigint, missing string, extra string, confirmed boolean"
+    ).withColumn("doc_id", hidden_id("doc_id"))

@@ -23,7 +23,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeloom.llm.common import Scratch
+from gradeloom.llm.common import Scratch, hidden_id, shown_id
 from gradeloom.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -59,8 +59,8 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": [
                 fingerprint(t, words) for t in b["text"]]})
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(
-        run, "doc_id bigint, fp bigint")
+    return docs.select(shown_id("doc_id"), "text").mapInPandas(
+        run, "doc_id bigint, fp bigint").withColumn("doc_id", hidden_id("doc_id"))
 
 
 def covering_masks(radius: int, seed: int = 7) -> list[int]:

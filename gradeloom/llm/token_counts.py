@@ -22,15 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from gradeloom.llm.common import worker_state
+from gradeloom.llm.common import hidden_id, shown_id, worker_state
 
 TOKEN_LIMIT = 1024
 CHUNK = 256
 WINDOW = 1 << 20
 KEPT_ARCS = 300_000
 LONG_ARC = 64
+JOINED = 2000
 
 # Symbols. "last": the final character of a run of white space with text after it.
 (LETTER, NUMBER, OTHER, BLANK_LAST, BLANK, SPACE_LAST, SPACE, SUFFIX_1, SUFFIX_2, BREAK,
@@ -141,6 +142,20 @@ class Transducer:
             state = self.move[at]
         return np.flatnonzero(found.T.ravel()[:len(symbols)])
 
+    def _compile(self, words: list[str]) -> None:
+        """Add the arcs of new pre-tokens with the number of tokens that they emit."""
+        # A blank and letters are one pre-token wherever they stand, so many go in one call.
+        simple = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        for at in range(0, len(simple), JOINED):
+            some = simple[at:at + JOINED]
+            got = self.library.encode("".join(some), add_special_tokens=False)
+            emitted = np.bincount(np.array(got.word_ids, np.int64))
+            if len(emitted) == len(some):
+                self.arcs.update(zip(some, emitted.tolist()))
+        rest = [w for w in words if w not in self.arcs]
+        for word, got in zip(rest, self.library.encode_batch(rest, add_special_tokens=False)):
+            self.arcs[word] = len(got.ids)
+
     def _window(self, parts: list[str]) -> np.ndarray:
         """Tokens of each of some texts."""
         joined = "\0".join(parts)
@@ -158,8 +173,7 @@ class Transducer:
         known = self.arcs
         new = [w for w in dict.fromkeys(words) if w not in known]
         if new:
-            for word, got in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-                known[word] = len(got.ids)
+            self._compile(new)
         emitted = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         for word in new:
             if len(word) > LONG_ARC:
@@ -221,5 +235,6 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = TOKEN_LIMIT) -> D
                 "doc_id": b["doc_id"], "n_bytes": [len(t.encode("utf-8")) for t in texts],
                 "n_tokens": tokens, "over_limit": tokens > limit})
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(
-        run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return docs.select(shown_id("doc_id"), "text").mapInPandas(
+        run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
+    ).withColumn("doc_id", hidden_id("doc_id"))
