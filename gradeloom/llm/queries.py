@@ -11,13 +11,17 @@ from gradeloom.llm.common import documents
 from gradeloom.llm.exact_dedup import exact_duplicates
 from gradeloom.llm.html_extract import extract_text
 from gradeloom.llm.license_scan import license_notices
+from gradeloom.llm.mixing import soft_mix
 from gradeloom.llm.packing import pack
 from gradeloom.llm.simhash import near_duplicates
+from gradeloom.llm.suffix_dedup import remove_repeats
 from gradeloom.llm.token_counts import token_counts
 from gradeloom.llm.topk_search import top_k, usable
 from gradeloom.llm.toxicity import toxicity
 
 CATEGORIES = ("low_quality", "toxic")
+# Weights of the label classes in the mix.
+TARGETS = {"high": 0.90, "low": 0.08, "toxic": 0.02}
 
 
 def category_labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,6 +30,12 @@ def category_labels(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
 
 
+def domain_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id and the domain of each labelled document."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high").otherwise("low")
+    return spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", domain.alias("domain"))
+
+
 def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract_text(spark.read.parquet(f"{folder}/pages.parquet"))
 
@@ -34,6 +44,14 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_notices(documents(spark, folder))
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(documents(spark, folder))
+
+
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return soft_mix(documents(spark, folder), domain_labels(spark, folder), TARGETS)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder))
 
@@ -62,8 +80,8 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_html_extraction, op2_license_scan, op5_simhash_near_dedup, op6_exact_dedup,
-        op7_topk_search, op8_token_counts, op9_toxicity, op10_packing)}
+        op1_html_extraction, op2_license_scan, op3_suffix_dedup, op4_mixing,
+        op5_simhash_near_dedup, op6_exact_dedup, op7_topk_search, op8_token_counts, op9_toxicity, op10_packing)}
 
 ORACLES = {
     "op6_exact_dedup": r"""
