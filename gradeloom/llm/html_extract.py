@@ -81,7 +81,7 @@ ATTRIBUTE = re.compile(
     r"(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-DIGITS = re.compile(r"\d+")
+DIGITS = re.compile(r"\d{3,}")
 
 
 class Node:
@@ -97,7 +97,7 @@ class Node:
                 found.setdefault(name.lower(), html.unescape(a or b or c))
         names = f"{found.get('class', '')} {found.get('id', '')}"
         self.attributed = bool(names.strip())
-        # Numbers in names belong to a page, not to the style.
+        # Long numbers in names belong to a page, not to the style.
         look = f"{tag} {DIGITS.sub('#', ' '.join(sorted(names.split())))}"
         self.style = xxhash.xxh64_intdigest(look, parent.style if parent else 0)
         inside = parent is not None and parent.main

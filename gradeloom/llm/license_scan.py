@@ -2,9 +2,9 @@
 
 Around every licence cue a block of words is compressed twice, on its own and with a template
 as raw zstandard dictionary. What the dictionary saves measures how much of the template's
-wording the block holds. The template that saves most is then compared word by word: the span
-that it covers, the words that it misses and the words that stand in between decide whether the
-notice is confirmed. Savings propose, exact wording decides.
+wording the block holds. Templates are compared word by word in the order of their savings: the
+span that one covers, the words that it misses and the words that stand in between decide whether
+the notice is confirmed. Savings propose, exact wording decides.
 
 Only texts with a cue leave the JVM; nothing is shuffled and every row is handled by itself.
 """
@@ -142,20 +142,19 @@ class Scanner:
                 plain, given = self.saving(name, block)
                 ranked.append((given - plain, name, plain, given, low, high))
             ranked.sort()
-            # The winner is confirmed by its wording; of equal savings the closer wording wins.
+            # Down the ranking, the first template whose wording is there, at the cue, wins.
             best = None
             for saved, name, plain, given, low, high in ranked:
-                if saved > ranked[0][0]:
-                    break
                 words = [bare(text[a:b]) for a, b in spans[low:high]]
                 kept = [i for i, w in enumerate(words) if w]
                 first, last, missing, extra = self._compare([words[i] for i in kept], name)
-                rank = (len(missing) + len(extra), name)
-                if best is None or rank < best[0]:
-                    edge = (low + kept[first], low + kept[last]) if last >= first else (at, at)
-                    best = (rank, name, plain, given, edge, missing, extra)
-            _, name, plain, given, (first, last), missing, extra = best
-            sure = self._tolerated(name, missing, extra)
+                edge = (low + kept[first], low + kept[last]) if last >= first else (at, at)
+                sure = edge[0] <= at <= edge[1] and self._tolerated(name, missing, extra)
+                if sure or best is None:
+                    best = (name, plain, given, edge, missing, extra, sure)
+                if sure or saved >= 0:
+                    break
+            name, plain, given, (first, last), missing, extra, sure = best
             if sure:
                 covered = last
             start, end = spans[first][0], spans[last][1]

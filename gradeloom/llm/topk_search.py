@@ -45,7 +45,7 @@ def vector_blocks(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame
         for b in batches:
             for at in range(0, len(b), block_rows):
                 part = b.iloc[at:at + block_rows]
-                dims = max(map(len, part["values"]))
+                dims = max(1, *map(len, part["values"]))
                 # Shorter vectors have zeros in the dimensions that they lack.
                 grid = np.zeros((dims, len(part)), "<i8")
                 for i, v in enumerate(part["values"]):

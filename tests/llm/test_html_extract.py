@@ -89,5 +89,5 @@ def test_awkward_rows(spark):
     assert rows_of(extract_text(pages), "page_id", "url", "text", "n_chars") == sorted(
         [(None, None, "a", 1), (1, "x", "", 0), (1, "x", "", 0),
          (2**62 + 1, "http://h", "\n".join("b" * 2000), 3999)], key=repr)
-    assert extract_text(pages.where("page_id > 2**62 + 5")).collect() == []
+    assert extract_text(pages.where("page_id = 5")).collect() == []
     assert low_nodes(pages.selectExpr("1L AS site", "html")).collect() == []
