@@ -105,3 +105,62 @@ def test_absent_classes_are_never_predicted(spark):
     models = fit_prompts(weighted_train(df, "prompt_name", "score", "exponential"), max_iter=100)
     got = predict(models, df, ["essay_id"]).select("predicted").distinct().collect()
     assert {r.predicted for r in got} <= {2, 6}
+
+
+@pytest.mark.parametrize("penalty", [0.5, 20.0])
+def test_gradient_vanishes_at_the_penalised_fit(spark, penalty):
+    """Sum of w (p - y) x over the rows plus coefficients / C is zero, and w (p - y) sums to zero."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(150, 2))
+    y = 1 + (x[:, 0] + rng.normal(size=150) > 0) + (x[:, 1] > .8)
+    df = assemble(spark.createDataFrame(
+        [(i, "p", int(c), *map(float, v)) for i, (v, c) in enumerate(zip(x, y))],
+        "essay_id bigint, prompt_name string, score int, a double, b double"), ["a", "b"])
+    train = weighted_train(df, "prompt_name", "score", "exponential")
+    (model,) = fit_prompts(train, penalty_c=penalty, max_iter=3000).values()
+    got = predict({"p": model}, train, ["essay_id", "weight", "score"], probabilities=True).collect()
+    got.sort(key=lambda r: r.essay_id)
+    counts = np.bincount(y)
+    assert np.allclose([r.weight for r in got], [np.exp(-counts[c] / 150) for c in y])
+    p = np.array([r.probability for r in got])
+    off = np.array([r.weight for r in got])[:, None] * (p - np.eye(p.shape[1])[y])
+    coefficients = model.coefficientMatrix.toArray()
+    assert np.abs(off.T @ x + coefficients / penalty).max() < .05
+    assert np.abs(off.sum(axis=0)).max() < .05
+    assert np.abs(coefficients).max() > .1
+
+
+def test_one_pass_scores_as_the_models_do(spark):
+    from pyspark.ml.functions import vector_to_array
+    rng = np.random.default_rng(4)
+    rows = [(i, "pq"[i % 2], int(c), float(v)) for i, (c, v) in enumerate(
+        zip(rng.integers(1, 5, 80), rng.normal(size=80)))]
+    df = assemble(spark.createDataFrame(
+        rows, "essay_id bigint, prompt_name string, score int, x double"), ["x"])
+    models = fit_prompts(weighted_train(df, "prompt_name", "score", "exponential"), max_iter=50)
+    ours = {r.essay_id: r for r in predict(models, df, ["essay_id"], probabilities=True).collect()}
+    for key, model in models.items():
+        for r in model.transform(df.where(F.col("prompt_name") == key)).select(
+                "essay_id", "prediction", vector_to_array("probability").alias("p")).collect():
+            assert ours[r.essay_id].predicted == r.prediction
+            assert np.allclose(ours[r.essay_id].probability, r.p)
+
+
+def test_rows_without_a_model_keep_their_row(spark):
+    from gradeloom.operators import models as md
+    df = assemble(spark.createDataFrame(
+        [(i, "p" if i < 20 else "only test", 1 + i % 2, float(i % 2)) for i in range(22)],
+        "essay_id bigint, prompt_name string, score int, x double"), ["x"])
+    train = weighted_train(df.where("essay_id < 20"), "prompt_name", "score", "exponential")
+    got = md.fit_and_predict(train, df, ["essay_id"], max_iter=20)
+    assert got.count() == 22 and got.where("predicted IS NULL").count() == 2
+
+
+def test_a_fit_reads_its_prompt_only(spark):
+    from gradeloom.operators import models as md
+    df = spark.range(4000, numPartitions=4).selectExpr("concat('p', id % 5) AS prompt_name", "id AS x")
+    parts = md.by_prompt(df, "prompt_name")
+    one = parts.where(F.col(md.PART) == "p3")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_part" in plan and one.count() == 800
+    assert "Coalesce" not in plan
