@@ -12,7 +12,7 @@ def run_stamp() -> Column:
 def append_results(results: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append ``prompt, model, metric, value`` rows, rounded to 4 decimals, under a run stamp.
 
-    ``coalesce(1)`` is safe here: a result table has a few rows per prompt.
+    The few rows are gathered after a shuffle, so the steps that make them keep their tasks.
     """
     (results.withColumn("value", F.round("value", 4)).withColumn("run_ts", run_stamp())
-     .coalesce(1).write.mode("append").partitionBy("run_ts").format(fmt).save(path))
+     .repartition(1).write.mode("append").partitionBy("run_ts").format(fmt).save(path))

@@ -12,23 +12,37 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCOPES: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; local masters without one get a temporary folder."""
+    """``spark.checkpoint.dir`` of the session; plain local masters without one get a temporary
+    folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gradeloom-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def staged_dir(spark: SparkSession) -> str:
+    """The folder of this application's staged tables; others under the same root are not ours."""
+    return f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
+    path = f"{staged_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -45,12 +59,34 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     Estimates only shrink by what the planner can prove, so a table derived from large input
     counts as large until it is written and its true size is known.
     """
-    bound = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    bound, size = _planner_sizes(df)
     return df if size <= bound else stage(df, label)
 
 
+@contextmanager
+def staged_scope(spark: SparkSession) -> Iterator[None]:
+    """Drop the tables staged inside when it ends; write results before that."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
+
+
 def clear_staged(spark: SparkSession) -> None:
-    """Delete every table staged so far; frames that still read them become unusable."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/staged")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete every table this application staged; frames that still read them become unusable."""
+    _delete(spark, staged_dir(spark))
+
+
+# The two steps below have no public form; they need a classic session.
+
+
+def _planner_sizes(df: DataFrame) -> tuple[int, int]:
+    bound = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return bound, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
