@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gradeloom.sources.staging import settle, stage
 
 _TASK, _SEQ = "_task", "_seq"
+# Parts of a group that meet in the next round of a top-n cut.
+PARTS_MERGED = 16
 
 
 def _sorted_slices(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -70,16 +72,21 @@ def ntile_of(rank: Column, total: Column, tiles: int) -> Column:
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int,
-                  rank: str = "rank", spread_by: str | None = None, salts: int = 32) -> DataFrame:
+                  rank: str = "rank", spread_by: str | None = None,
+                  salts: int | None = None) -> DataFrame:
     """First ``n`` rows of each group, ranked from 1.
 
-    With ``spread_by`` a group is first cut down to n rows in each of ``salts`` parts, so the
-    last step sees at most ``n * salts`` rows per group however large the group is.
+    With ``spread_by`` a group is first cut down to n rows in each of some parts. There are as
+    many parts as shuffle partitions (or ``salts``), a sixteenth of that in the next round and so
+    on, so after the first round no task sees more than about 16 * n rows of a group.
     """
     if spread_by:
-        salt = F.pmod(F.xxhash64(spread_by), F.lit(salts))
-        part = Window.partitionBy(*by, "_salt").orderBy(*order)
-        df = (df.withColumn("_salt", salt).withColumn("_part_rank", F.row_number().over(part))
-              .where(F.col("_part_rank") <= n).drop("_salt", "_part_rank"))
+        parts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        while parts > 1:
+            salt = F.pmod(F.xxhash64(spread_by), F.lit(parts))
+            part = Window.partitionBy(*by, "_salt").orderBy(*order)
+            df = (df.withColumn("_salt", salt).withColumn("_part_rank", F.row_number().over(part))
+                  .where(F.col("_part_rank") <= n).drop("_salt", "_part_rank"))
+            parts //= PARTS_MERGED
     final = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(final)).where(F.col(rank) <= n)

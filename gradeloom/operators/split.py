@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gradeloom.functions.constants import SPLIT_SEED
-from gradeloom.sources.staging import settle
+from gradeloom.sources.staging import stage
 
 
 def mark_by_quota(df: DataFrame, key: str, groups: Sequence[str], quota_of, seed: int,
@@ -15,31 +15,32 @@ def mark_by_quota(df: DataFrame, key: str, groups: Sequence[str], quota_of, seed
     """Boolean ``mark`` on the first ``quota`` rows of each group in hash order of ``key``.
 
     ``quota_of`` maps a frame of groups with their ``size`` to one with a ``quota`` column.
-    Group sizes are counted per hash cell (4096 per group); cells below the quota are taken
-    whole, and only the one cell the quota ends in is ranked, 1/4096 of the group.
+    Group sizes are counted per hash cell (4096 per group); only the one cell in which the quota
+    ends is ranked, 1/4096 of the group. That gives one cut-off per group, and the rows are marked
+    in one pass by comparing with it.
     """
     digest = F.md5(F.concat(F.col(key).cast("string"), F.lit("|"), F.lit(str(seed))))
     keyed = df.withColumn("_hash", digest).withColumn(
         "_cell", F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int"))
-    cells = settle(keyed.groupBy(*groups, "_cell").agg(F.count(F.lit(1)).alias("rows")), "cells")
+    cells = stage(keyed.groupBy(*groups, "_cell").agg(F.count(F.lit(1)).alias("rows")), "cells")
     quotas = quota_of(cells.groupBy(*groups).agg(F.sum("rows").alias("size")))
     before = Window.partitionBy(*groups).orderBy("_cell").rowsBetween(
         Window.unboundedPreceding, -1)
     counted = cells.withColumn("_before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
     edges = counted.join(quotas, [*groups]).where(
         (F.col("_before") < F.col("quota")) & (F.col("quota") <= F.col("_before") + F.col("rows")))
-    edges = settle(edges.select(
-        *groups, F.col("_cell").alias("_edge"),
-        (F.col("quota") - F.col("_before")).alias("_take")), "edges")
-    placed = keyed.join(edges, [*groups], "left")
-    on_edge = F.coalesce(F.col("_cell") == F.col("_edge"), F.lit(False))
-    whole = placed.where(~on_edge).withColumn(
-        mark, F.coalesce(F.col("_cell") < F.col("_edge"), F.lit(False)))
-    inside = Window.partitionBy(*groups, "_cell").orderBy("_hash", key)
-    ranked = placed.where(on_edge).withColumn("_rank", F.row_number().over(inside)).withColumn(
-        mark, F.col("_rank") <= F.col("_take"))
-    columns = [*df.columns, mark]
-    return whole.select(*columns).unionByName(ranked.select(*columns))
+    edges = edges.select(*groups, F.col("_cell").alias("_edge"),
+                         (F.col("quota") - F.col("_before")).alias("_take"))
+    # Inside the edge cell the last row that is taken gives one cut-off per group.
+    inside = Window.partitionBy(*groups).orderBy("_hash", key)
+    last = keyed.join(edges, [*groups]).where(F.col("_cell") == F.col("_edge")).withColumn(
+        "_rank", F.row_number().over(inside)).where(F.col("_rank") == F.col("_take")).select(
+        *groups, "_edge", F.col("_hash").alias("_last_hash"), F.col(key).alias("_last_key"))
+    last = stage(last, "cuts")
+    at = F.struct(F.col("_hash"), F.col(key)) <= F.struct(F.col("_last_hash"), F.col("_last_key"))
+    taken = (F.col("_cell") < F.col("_edge")) | ((F.col("_cell") == F.col("_edge")) & at)
+    return keyed.join(last, [*groups], "left").withColumn(
+        mark, F.coalesce(taken, F.lit(False))).select(*df.columns, mark)
 
 
 def split_quotas(sizes: DataFrame, prompt: str, label: str, test_size: float) -> DataFrame:
