@@ -40,7 +40,8 @@ SPLIT = sql.with_(sql.SCORED, sql.ESSAYS, PROMPTED, sql.split("prompted"), sql.W
 @query("csv_scan", "S1", sql.ESSAY + f"SELECT {ALL} FROM essays")
 def csv_scan(spark, folder):
     path = fresh_path(spark, "essays-csv")
-    es.write_essays_csv(es.essay_view(spark, folder), path)
+    essays = es.essay_view(spark, folder)
+    es.write_essays_csv(essays.select(*sorted(essays.columns)), path)
     return es.read_essays_csv(spark, path)
 
 
@@ -171,6 +172,26 @@ def sorted_in_place(spark, folder):
     return im.sorted_in_place(kept, "grade_level", "row_id")
 
 
+@query("filled_in_sorted_order", "W5 I1", sql.with_(sql.SCORED, sql.ESSAYS, sql.KEPT) + """
+, placed AS (SELECT k.*, coalesce(m.slot, k.row_id) AS slot FROM kept k LEFT JOIN (
+  SELECT a.row_id, b.slot FROM
+    (SELECT row_id, row_number() OVER (ORDER BY grade_level, row_id) AS r FROM kept
+     WHERE grade_level IS NOT NULL) a JOIN
+    (SELECT row_id AS slot, row_number() OVER (ORDER BY row_id) AS r FROM kept
+     WHERE grade_level IS NOT NULL) b USING (r)) m ON m.row_id = k.row_id)
+SELECT row_id, coalesce(grade_level, last_value(grade_level IGNORE NULLS) OVER (
+    ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS grade_level
+FROM placed""")
+def filled_in_sorted_order(spark, folder):
+    kept = stage(kept_essays(spark, folder), "kept")
+    placed = im.sorted_in_place(kept, "grade_level", "row_id").withColumn(
+        "_own", F.col("row_id")).withColumn("row_id", F.col("slot")).drop("slot")
+    placed = stage(placed, "placed")
+    filled = im.fill_neighbours(placed.drop("_own")).select("row_id", "grade_level")
+    return filled.join(placed.select("row_id", "_own"), "row_id").select(
+        F.col("_own").alias("row_id"), "grade_level")
+
+
 @query("coin_filled", "I2", sql.with_(sql.SCORED, sql.ESSAYS, sql.coins("essays", "coined")) + """
 SELECT essay_id, economically_disadvantaged, student_disability_status, ell_status, gender
 FROM coined""")

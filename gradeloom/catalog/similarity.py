@@ -118,4 +118,40 @@ def content_similarity(spark, folder):
 
 @query("tfidf_score", "T11", "SELECT doc_id AS doc_key, 1.0::DOUBLE AS tfidf FROM documents")
 def tfidf_score(spark, folder):
-    return tfidf(document_tokens(spark, folder))
+    return tfidf(table(spark, folder, "documents").select(F.col("doc_id").alias("doc_key")))
+
+
+PROMPT_TEXTS = """
+prompt_texts AS (
+  SELECT ['de', 'en', 'es', 'fr'][item_id % 4 + 1] AS lang, string_agg(text, ' ' ORDER BY item_id)
+    AS text FROM benchmark GROUP BY 1)"""
+PROMPT_TERMS = sql.tokens("prompt_texts", "lang", "text", "lang", "lang").replace(
+    "tokens AS (", "prompts AS (", 1)
+
+
+@query("prompt_tfidf", "T11", sql.with_(sql.tokens(), PROMPT_TEXTS, PROMPT_TERMS) + """
+, terms AS (SELECT doc_key, group_key, token, count(*)::DOUBLE AS uses FROM (
+    SELECT doc_key, group_key, unnest(tokens) AS token FROM tokens) GROUP BY ALL)
+, docs AS (SELECT token, count(*) AS docs FROM terms GROUP BY token)
+, idf AS (SELECT token, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + docs)) + 1 AS idf
+          FROM docs)
+, wanted AS (SELECT group_key, token, count(*) * coalesce(idf,
+               ln(1.0 + (SELECT count(*) FROM documents)) + 1) AS wanted FROM (
+    SELECT group_key, unnest(tokens) AS token FROM prompts) LEFT JOIN idf USING (token)
+    GROUP BY group_key, token, idf)
+, norms AS (SELECT group_key, sqrt(sum(wanted * wanted)) AS norm FROM wanted GROUP BY 1)
+, sums AS (SELECT doc_key, group_key, sqrt(sum(uses * idf * uses * idf)) AS own,
+             sum(uses * idf * wanted) AS dot
+           FROM terms JOIN idf USING (token) LEFT JOIN wanted USING (group_key, token) GROUP BY 1, 2)
+SELECT t.doc_key, coalesce(round(dot / (own * norm), 6), 0.0) AS tfidf FROM tokens t
+LEFT JOIN sums USING (doc_key) LEFT JOIN norms n ON n.group_key = t.group_key""")
+def prompt_tfidf(spark, folder):
+    lang = F.element_at(F.array(*map(F.lit, ("de", "en", "es", "fr"))),
+                        (F.col("item_id") % 4 + 1).cast("int"))
+    # The passages are the fixed texts of four prompts.
+    texts = table(spark, folder, "benchmark").groupBy(lang.alias("lang")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))),
+                                 lambda x: x["text"]), " ").alias("text"))
+    prompts = ng.token_table(stage(texts, "prompts"), "lang", "text", "lang", "lang")
+    scores = sm.prompt_tfidf(stage(document_tokens(spark, folder), "tokens"), prompts)
+    return scores.select("doc_key", F.round("tfidf", 6).alias("tfidf"))

@@ -145,7 +145,8 @@ unknown AS (
 
 
 @query("spelling_errors", "T18", sql.with_(UNKNOWN) + """
-SELECT doc_id, unknown_words AS num_spelling_errors FROM unknown""")
+SELECT doc_id, coalesce(unknown_words, 0) AS num_spelling_errors
+FROM documents LEFT JOIN unknown USING (doc_id)""")
 def spelling_errors(spark, folder):
     return lx.unknown_word_counts(documents(spark, folder), "doc_id", "text").withColumnRenamed(
         "unknown_words", "num_spelling_errors")
@@ -155,8 +156,10 @@ def spelling_errors(spark, folder):
 WITH words AS (SELECT doc_id, unnest({WORDS}) AS token FROM documents),
 known AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[{sql.WORD}]+')) AS token
           FROM conversations)
-SELECT doc_id, count(*) AS num_spelling_errors FROM words
-WHERE token NOT IN (SELECT token FROM known) GROUP BY doc_id""")
+, unknown AS (SELECT doc_id, count(*) AS n FROM words
+  WHERE token NOT IN (SELECT token FROM known) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS num_spelling_errors FROM documents LEFT JOIN unknown USING (doc_id)
+""")
 def spelling_errors_by_dictionary(spark, folder):
     turns = spread(table(spark, folder, "conversations"), "conv_id")
     known = lx.word_rows(turns, "conv_id", "text").select("token").distinct()

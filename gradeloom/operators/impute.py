@@ -144,14 +144,25 @@ def fill_neighbours(df: DataFrame) -> DataFrame:
     return fill_prompt(nearest_known(first, "row_id", ["prompt_name"])).select(*narrow.columns)
 
 
-def fill_missing(df: DataFrame) -> DataFrame:
+def fill_missing(df: DataFrame, sort_keys: Sequence[str] = ()) -> DataFrame:
     """Every fill rule in order, then drop rows that still hold a null.
 
-    The ordered rules run on four narrow columns and are joined back by ``row_id``, so the
-    texts never go through a window.
+    The ordered rules run on four narrow columns and are joined back by ``row_id``, so the texts
+    go through no window, only through that join. With ``sort_keys`` rows are first sorted in place
+    by each key in turn, and the neighbour rules see them in that order.
     """
     present = drop_missing(df, ["full_text"])
-    filled = stage(fill_neighbours(present), "filled")
+    narrow = present.select("row_id", "assignment", "prompt_name", "grade_level")
+    if sort_keys:
+        order = narrow.withColumn("_own", F.col("row_id"))
+        for key in sort_keys:
+            order = stage(sorted_in_place(order, key, "row_id").withColumn(
+                "row_id", F.col("slot")).drop("slot"), "order")
+        filled = stage(fill_neighbours(order.drop("_own")).join(
+            order.select("row_id", "_own"), "row_id").withColumn("row_id", F.col("_own"))
+            .drop("_own"), "filled")
+    else:
+        filled = stage(fill_neighbours(narrow), "filled")
     kept = fill_from_observed(fill_by_coin(fill_word_count(present)), "race_ethnicity")
     patched = kept.drop("assignment", "prompt_name", "grade_level").join(
         filled, "row_id", "left")

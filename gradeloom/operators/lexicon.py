@@ -57,7 +57,7 @@ def corpus_dictionary(words: DataFrame, doc: str, min_docs: int = 2) -> DataFram
 
 def unknown_word_counts(docs: DataFrame, doc: str, text: str,
                         dictionary: DataFrame | None = None) -> DataFrame:
-    """Word occurrences outside the dictionary, per document that has any.
+    """Word occurrences outside the dictionary, 0 for a document without any.
 
     Without a dictionary (column ``token``), a word is known once two documents use it. That
     needs no join: a word whose smallest and largest document agree is unknown, and a frequent
@@ -71,4 +71,6 @@ def unknown_word_counts(docs: DataFrame, doc: str, text: str,
     else:
         counted = words.groupBy(doc, "token").agg(F.count(F.lit(1)).alias("repeats"))
         rare = counted.join(dictionary.select("token"), "token", "left_anti")
-    return rare.groupBy(doc).agg(F.sum("repeats").alias("unknown_words"))
+    found = rare.groupBy(doc).agg(F.sum("repeats").alias("unknown_words"))
+    return docs.select(doc).join(found, doc, "left").withColumn(
+        "unknown_words", F.coalesce("unknown_words", F.lit(0).cast("bigint")))

@@ -1,7 +1,7 @@
 """Agreement and classification metrics, per group, from integer sums.
 
-All inputs are frames of (group..., truth, predicted), or their confusion table, recognised by
-its ``rows`` column. Each metric reads the rows once, to count them; everything after that works
+All inputs are frames of (group..., truth, predicted), or, with ``counted=True``, their confusion
+table (group..., truth, predicted, rows). Each metric reads the rows once, to count them; everything after that works
 on the confusion table (classes squared per group). Several metrics of one frame should share it.
 """
 
@@ -24,18 +24,19 @@ def checked(df: DataFrame, columns: Sequence[str], low: int = MIN_SCORE,
 
 
 def confusion(df: DataFrame, by: Sequence[str], truth: str = "score",
-              predicted: str = "predicted") -> DataFrame:
-    """Sparse confusion table: group, truth, predicted, rows."""
-    if "rows" in df.columns:
-        return df
+              predicted: str = "predicted", counted: bool = False) -> DataFrame:
+    """Sparse confusion table: group, truth, predicted, rows; ``df`` itself if it is one."""
+    if counted:
+        return df.select(*by, truth, predicted, "rows")
     return df.groupBy(*by, truth, predicted).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def dense_confusion(df: DataFrame, by: Sequence[str], truth: str, predicted: str,
-                    low: int = MIN_SCORE, high: int = MAX_SCORE) -> DataFrame:
+                    low: int = MIN_SCORE, high: int = MAX_SCORE,
+                    counted: bool = False) -> DataFrame:
     """Confusion table with every label pair, marginals and expected count."""
     labels = F.sequence(F.lit(low), F.lit(high))
-    counts = confusion(df, by, truth, predicted)
+    counts = confusion(df, by, truth, predicted, counted)
     grid = counts.select(*by).distinct().withColumn(truth, F.explode(labels)).withColumn(
         predicted, F.explode(labels))
     full = grid.join(counts, [*by, truth, predicted], "left").withColumn(
@@ -63,14 +64,14 @@ def _moments(df: DataFrame, by: Sequence[str], t: Column, p: Column) -> DataFram
 
 
 def quadratic_weighted_kappa(df: DataFrame, by: Sequence[str], truth: str = "score",
-                             predicted: str = "predicted") -> DataFrame:
+                             predicted: str = "predicted", counted: bool = False) -> DataFrame:
     """1 - observed / expected squared disagreement, per group.
 
     The expected term sums (t-p)^2 over all pairs of marginals, which expands into sums and
     sums of squares, so one pass of six integers replaces the matrices.
     """
     t, p = (F.col(c).cast("bigint") for c in (truth, predicted))
-    pairs = confusion(df, by, truth, predicted)
+    pairs = confusion(df, by, truth, predicted, counted)
     m = _moments(checked(pairs, [truth, predicted]), by, t, p)
     n, diff = F.col("n"), F.col("diff")
     expected = n * F.col("stt") - F.col("st") * F.col("sp") * 2 + n * F.col("spp")
@@ -80,13 +81,14 @@ def quadratic_weighted_kappa(df: DataFrame, by: Sequence[str], truth: str = "sco
 
 
 def shifted_kappa(df: DataFrame, by: Sequence[str], classes: int = MAX_SCORE,
-                  truth: str = "score", predicted: str = "predicted") -> DataFrame:
+                  truth: str = "score", predicted: str = "predicted",
+                  counted: bool = False) -> DataFrame:
     """The other kappa: ratings 1..classes-1 only, expected term from the truth marginal."""
     t, p = (F.col(c).cast("bigint") for c in (truth, predicted))
     top = classes - 1
     inside = t.between(1, top) & p.between(1, top)
     # Pairs outside the range count as zero rows, which keeps groups that have no others.
-    pairs = confusion(df, by, truth, predicted)
+    pairs = confusion(df, by, truth, predicted, counted)
     used = _moments(pairs.withColumn("rows", F.when(inside, F.col("rows")).otherwise(0)), by, t, p)
     n = F.col("n").cast("double")
     observed = F.col("diff").cast("double")
@@ -104,22 +106,23 @@ def shifted_kappa(df: DataFrame, by: Sequence[str], classes: int = MAX_SCORE,
 
 
 def accuracy(df: DataFrame, by: Sequence[str], truth: str = "score",
-             predicted: str = "predicted") -> DataFrame:
+             predicted: str = "predicted", counted: bool = False) -> DataFrame:
     right = F.sum(F.when(F.col(truth) == F.col(predicted), F.col("rows")).otherwise(0))
-    return confusion(df, by, truth, predicted).groupBy(*by).agg(
+    return confusion(df, by, truth, predicted, counted).groupBy(*by).agg(
         (right.cast("double") / F.sum("rows")).alias("accuracy"))
 
 
 def weighted_accuracy(df: DataFrame, by: Sequence[str], weights: DataFrame | None = None,
-                      truth: str = "score", predicted: str = "predicted") -> DataFrame:
+                      truth: str = "score", predicted: str = "predicted",
+                      counted: bool = False) -> DataFrame:
     """Share of weight on rows predicted right; ``weights`` has group, truth and ``weight``.
 
     The join sees classes only.
     """
     if weights is None:
-        return accuracy(df, by, truth, predicted).withColumnRenamed("accuracy", "weighted_accuracy")
+        return accuracy(df, by, truth, predicted, counted).withColumnRenamed("accuracy", "weighted_accuracy")
     right = F.sum(F.when(F.col(truth) == F.col(predicted), F.col("rows")).otherwise(0))
-    classes = confusion(df, by, truth, predicted).groupBy(*by, truth).agg(
+    classes = confusion(df, by, truth, predicted, counted).groupBy(*by, truth).agg(
         right.alias("right"), F.sum("rows").alias("rows"))
     known = classes.join(weights.select(*by, truth, "weight"), [*by, truth], "left").withColumn(
         "weight", F.when(F.col("weight").isNotNull(), F.col("weight")).otherwise(
@@ -129,10 +132,10 @@ def weighted_accuracy(df: DataFrame, by: Sequence[str], weights: DataFrame | Non
 
 
 def class_report(df: DataFrame, by: Sequence[str], truth: str = "score",
-                 predicted: str = "predicted") -> DataFrame:
+                 predicted: str = "predicted", counted: bool = False) -> DataFrame:
     """Precision, recall, F1 and support per class that occurs as truth or prediction."""
     t, p = F.col(truth), F.col(predicted)
-    cells = confusion(df, by, truth, predicted).select(*by, F.explode(F.array(
+    cells = confusion(df, by, truth, predicted, counted).select(*by, F.explode(F.array(
         F.struct(t.alias("label"), F.col("rows").alias("support"), F.lit(0).cast("bigint")
                  .alias("called"), F.when(t == p, F.col("rows")).otherwise(0).alias("right")),
         F.struct(p.alias("label"), F.lit(0).cast("bigint").alias("support"),
@@ -151,9 +154,9 @@ def class_report(df: DataFrame, by: Sequence[str], truth: str = "score",
 
 
 def evaluate(df: DataFrame, by: Sequence[str], truth: str = "score",
-             predicted: str = "predicted") -> DataFrame:
+             predicted: str = "predicted", counted: bool = False) -> DataFrame:
     """Accuracy and support-weighted precision, recall and F1 per group."""
-    report = class_report(df, by, truth, predicted)
+    report = class_report(df, by, truth, predicted, counted)
     n = F.sum("support")
     share = {m: (F.sum(F.col(m) * F.col("support")) / n).alias(m)
              for m in ("precision", "recall", "f1_score")}
@@ -163,13 +166,13 @@ def evaluate(df: DataFrame, by: Sequence[str], truth: str = "score",
 
 
 def grade_distribution(df: DataFrame, by: Sequence[str], truth: str = "score",
-                       predicted: str = "predicted") -> DataFrame:
+                       predicted: str = "predicted", counted: bool = False) -> DataFrame:
     """Rows per grade, predicted against actual; a side without the grade is null.
 
     Both value counts come out of one aggregation, not a join of two.
     """
     n, none = F.col("rows"), F.lit(0).cast("bigint")
-    sides = confusion(df, by, truth, predicted).select(*by, F.explode(F.array(
+    sides = confusion(df, by, truth, predicted, counted).select(*by, F.explode(F.array(
         F.struct(F.col(predicted).cast("bigint").alias("grade"), n.alias("p"), none.alias("a")),
         F.struct(F.col(truth).cast("bigint").alias("grade"), none.alias("p"), n.alias("a")),
     )).alias("side")).select(*by, "side.*")

@@ -105,12 +105,14 @@ def histogram(df: DataFrame, column: str, bins: int, low: float | None = None,
     """``bin, low_edge, rows`` over equal bins, empty ones included; the last bin is closed.
 
     Values outside ``low..high`` are dropped. Missing bounds are the column's own, fetched as
-    one row.
+    one row; a column without values has bounds 0 and 1 and empty bins.
     """
     if low is None or high is None:
         seen = df.agg(F.min(column), F.max(column)).first()
-        low, high = (float(v) for v in seen)
-        if low == high:
+        low, high = (0.0 if v is None else float(v) for v in seen)
+        if seen[0] is None:
+            high = 1.0
+        elif low == high:
             low, high = low - 0.5, high + 0.5
     width = (high - low) / bins
     x = F.col(column).cast("double")

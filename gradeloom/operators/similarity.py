@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from gradeloom.functions.constants import TOP_N
 from gradeloom.functions.text import ratio_or_zero
 from gradeloom.operators.ngrams import doc_ngrams, gram_counts, top_grams
-from gradeloom.sources.staging import stage
+from gradeloom.sources.staging import settle, stage
 
 
 def match_counts(grams: DataFrame, top: DataFrame) -> DataFrame:
@@ -60,3 +60,34 @@ def array_jaccard(left, right):
     """Jaccard of two arrays taken as sets; null when both are empty."""
     both = F.size(F.array_intersect(left, right))
     return F.try_divide(both.cast("double"), F.size(F.array_union(left, right)))
+
+
+def _term_counts(tokens: DataFrame, *keys: str) -> DataFrame:
+    return tokens.select(*keys, F.explode("tokens").alias("token")).groupBy(*keys, "token").agg(
+        F.count(F.lit(1)).cast("double").alias("uses"))
+
+
+def prompt_tfidf(tokens: DataFrame, prompts: DataFrame) -> DataFrame:
+    """``doc_key, tfidf``: cosine between a document and its own prompt's text, by tf-idf.
+
+    ``prompts`` is a token table with one row per group. Inverse frequencies, ln((1 + n) / (1 + df))
+    + 1, come from the documents. A document meets the tokens of its own prompt by (group, token),
+    never other prompts. Documents without tokens or without a prompt text score 0.
+    """
+    terms = _term_counts(tokens, "doc_key", "group_key")
+    total = tokens.count()
+    idf = F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.coalesce("docs", F.lit(0)))) + 1.0
+    docs = settle(terms.groupBy("token").agg(F.count(F.lit(1)).alias("docs")), "frequencies")
+    wanted = _term_counts(prompts, "group_key").join(docs, "token", "left").select(
+        "group_key", "token", (F.col("uses") * idf).alias("wanted"))
+    wanted = settle(wanted, "prompt-terms")
+    norms = wanted.groupBy("group_key").agg(F.sqrt(F.sum(F.col("wanted") ** 2)).alias("norm"))
+    weighed = terms.join(docs, "token", "left").withColumn("weight", F.col("uses") * idf).join(
+        wanted, ["group_key", "token"], "left")
+    sums = weighed.groupBy("doc_key", "group_key").agg(
+        F.sqrt(F.sum(F.col("weight") ** 2)).alias("own"),
+        F.sum(F.col("weight") * F.col("wanted")).alias("dot"))
+    score = F.try_divide(F.col("dot"), F.col("own") * F.col("norm"))
+    return tokens.select("doc_key", "group_key").join(sums, ["doc_key", "group_key"], "left").join(
+        settle(norms, "norms"), "group_key", "left").select(
+        "doc_key", F.coalesce(score, F.lit(0.0)).alias("tfidf"))

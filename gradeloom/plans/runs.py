@@ -49,6 +49,14 @@ class Settings:
     k: int = NEIGHBOURS
     # Essays the frequent n-grams are drawn from: "all" of the prompt, or its "train" rows.
     fit_on: str = "all"
+    # Divisor of the bell curve: "mean", or "std" for the deviation.
+    spread: str = "mean"
+    # Neighbours search scaled columns (zero mean, unit deviation per prompt) instead of plain ones.
+    scale: bool = False
+    # Keys that fill_missing sorts in place before its neighbour rules.
+    sort_keys: Sequence[str] = ()
+    # Add precision, recall and F1 of every class to the results.
+    report: bool = False
 
 
 EXPERIMENT = Settings(seed=EXPERIMENT_SEED, penalty_c=1.0)
@@ -63,8 +71,8 @@ def essay_tokens(essays: DataFrame) -> DataFrame:
     return token_table(essays, "essay_id", "full_text", "prompt_name", "row_id")
 
 
-def filled_essays(essays: DataFrame) -> DataFrame:
-    return stage(fill_missing(essays), "essays")
+def filled_essays(essays: DataFrame, sort_keys: Sequence[str] = ()) -> DataFrame:
+    return stage(fill_missing(essays, sort_keys), "essays")
 
 
 def encoded_essays(filled: DataFrame) -> DataFrame:
@@ -106,27 +114,50 @@ def similarity_table(filled: DataFrame, lexicon: DataFrame,
         F.col("doc_key").alias("essay_id"), *SIMILARITIES)
 
 
-def scores_of(predictions: DataFrame, weights: DataFrame, model: str,
-              by: Sequence[str] = ("prompt_name",)) -> DataFrame:
-    """Every metric and the grade distribution of a prediction table, in long form."""
+def scores_of(predictions: DataFrame, weights: DataFrame | None, model: str,
+              by: Sequence[str] = ("prompt_name",), report: bool = False) -> DataFrame:
+    """The metrics and the grade distribution of a prediction table, in long form.
+
+    Kappa and weighted accuracy need ``weights``; models that are graded without them leave both
+    out. Rows without a prediction are not scored but counted as ``ungraded``.
+    """
     by = list(by)
-    predictions = stage(metrics.confusion(predictions, by), "confusion")
-    parts = [
-        metrics.quadratic_weighted_kappa(predictions, by),
-        metrics.weighted_accuracy(predictions, by, weights),
-        metrics.evaluate(predictions, by),
-    ]
+    counts = stage(metrics.confusion(predictions, by), "confusion")
+    missing = counts.where("predicted IS NULL").groupBy(*by).agg(
+        F.sum("rows").cast("double").alias("ungraded"))
+    counts = counts.where("predicted IS NOT NULL")
+    parts = [metrics.evaluate(counts, by, counted=True), missing]
+    if weights is not None:
+        parts += [metrics.quadratic_weighted_kappa(counts, by, counted=True),
+                  metrics.weighted_accuracy(counts, by, weights, counted=True)]
     rows = [metrics.long_metrics(part, by) for part in parts]
-    grades = metrics.grade_distribution(predictions, by)
+    grades = metrics.grade_distribution(counts, by, counted=True)
     for side in ("predicted", "actual"):
         rows.append(grades.where(F.col(side).isNotNull()).select(
             *by, F.concat(F.lit(f"{side}_"), F.col("grade").cast("string")).alias("metric"),
             F.col(side).cast("double").alias("value")))
+    if report:
+        classes = metrics.class_report(counts, by, counted=True)
+        long = metrics.long_metrics(classes, [*by, "label"])
+        rows.append(long.select(*by, F.concat_ws(
+            "_", "metric", F.col("label").cast("string")).alias("metric"), "value"))
     long = reduce(DataFrame.unionByName, rows)
     return long.select(F.col(by[0]).cast("string").alias("prompt"), F.lit(model).alias("model"),
                        "metric", "value")
 
 
+def scaled(frame: DataFrame, columns: Sequence[str], by: str = "prompt_name") -> DataFrame:
+    """``columns`` less their mean over their deviation among the training rows of each prompt."""
+    known = frame.where(~F.col("is_test"))
+    stats = stage(known.groupBy(F.col(by).alias("_by")).agg(
+        *(f(F.col(c).cast("double")).alias(f"_{name}_{c}") for c in columns
+          for name, f in (("mean", F.avg), ("dev", F.stddev_pop)))), "scales")
+    joined = frame.join(stats, F.col(by) == F.col("_by"), "left")
+    values = {c: F.coalesce(F.try_divide(F.col(c).cast("double") - F.col(f"_mean_{c}"),
+                                         F.col(f"_dev_{c}")), F.lit(0.0)) for c in columns}
+    return joined.select(*(values.get(c, F.col(c)).alias(c) for c in frame.columns))
+
+
 def grade_models(frame: DataFrame, columns: Sequence[str], settings: Settings,
                  label: str, similarity: str | None = None) -> DataFrame:
     """Split, weigh, fit and evaluate each chosen model on an encoded frame."""
@@ -137,9 +168,10 @@ def grade_models(frame: DataFrame, columns: Sequence[str], settings: Settings,
     keep = ["essay_id", "prompt_name", "score"]
     results = []
     if "bell" in settings.models:
-        graded = bell_curve_grades(split, ["prompt_name"], similarity, settings.alambda)
+        graded = bell_curve_grades(split, ["prompt_name"], similarity, settings.alambda,
+                                   spread=settings.spread)
         graded = stage(graded.select(*keep, F.col("grade").alias("predicted")), "graded")
-        results.append(scores_of(graded, weights, f"{label}_bell"))
+        results.append(scores_of(graded, None, f"{label}_bell", report=settings.report))
     if "logistic" in settings.models:
         # The prompt is both the key of a model and one of its columns.
         rows = assemble(
@@ -150,42 +182,60 @@ def grade_models(frame: DataFrame, columns: Sequence[str], settings: Settings,
         predicted = fit_and_predict(
             known, rows.where("is_test"), keep, penalty_c=settings.penalty_c,
             max_iter=settings.max_iter)
-        results.append(scores_of(predicted, weights, f"{label}_logistic"))
+        results.append(scores_of(predicted, weights, f"{label}_logistic", report=settings.report))
     if "neighbours" in settings.models:
-        def points(df):
-            return df.select(
-                F.col("prompt_name").cast("string").alias("part"), F.col("essay_id").alias("id"),
-                F.array(*(F.col(c).cast("double") for c in columns)).alias("features"))
-        found = nearest(points(test), points(train), settings.k)
+        space = split.withColumn("_part", F.col("prompt_name").cast("string"))
+        if settings.scale:
+            space = scaled(space, columns, "_part")
+        space = space.select(
+            F.col("_part").alias("part"), F.col("essay_id").alias("id"), "is_test",
+            F.array(*(F.col(c).cast("double") for c in columns)).alias("features"))
+        found = nearest(space.where("is_test").drop("is_test"),
+                        space.where(~F.col("is_test")).drop("is_test"), settings.k)
         labels = train.select(F.col("essay_id").alias("id"), F.col("score").alias("label"))
         voted = vote(found, labels).withColumnRenamed("query", "essay_id")
         predicted = stage(test.select(*keep).join(
-            voted.select("essay_id", "predicted"), "essay_id"), "predicted")
-        results.append(scores_of(predicted, weights, f"{label}_neighbours"))
+            voted.select("essay_id", "predicted"), "essay_id", "left"), "predicted")
+        results.append(scores_of(predicted, None, f"{label}_neighbours", report=settings.report))
     return reduce(DataFrame.unionByName, results)
 
 
 def baseline_run(essays: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Logistic regression on the columns that need no text."""
-    return grade_models(encoded_essays(filled_essays(essays)), BASE_COLUMNS, settings, "base")
+    encoded = encoded_essays(filled_essays(essays, settings.sort_keys))
+    return grade_models(stage(encoded, "encoded"), BASE_COLUMNS, settings, "base")
+
 
+def main_run(essays: DataFrame, settings: Settings = Settings(),
+             features: DataFrame | None = None) -> DataFrame:
+    """Baseline, then the chosen models with text features and similarity score.
 
-def main_run(essays: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Baseline, then the chosen models with text features and similarity score."""
-    filled = filled_essays(essays)
+    ``features`` is a ready table of essay_id, the ten features and similarity_score; without it
+    they are computed.
+    """
+    filled = filled_essays(essays, settings.sort_keys)
     encoded = stage(encoded_essays(filled), "encoded")
     base = grade_models(encoded, BASE_COLUMNS, Settings(
         test_size=settings.test_size, seed=settings.seed, max_iter=settings.max_iter), "base")
-    full = stage(encoded.join(feature_table(filled, settings), "essay_id"), "full")
+    if features is None:
+        features = feature_table(filled, settings)
+    given = features.select("essay_id", *FEATURES, "similarity_score")
+    full = stage(encoded.join(given, "essay_id"), "full")
     return base.unionByName(
         grade_models(full, MAIN_COLUMNS, settings, "main", "similarity_score"))
 
 
 def experiment_run(essays: DataFrame, lexicon: DataFrame, settings: Settings = EXPERIMENT,
-                   columns: Sequence[str] = EXPERIMENT_COLUMNS) -> DataFrame:
-    """Word count, text features and the five similarity columns, penalised regression."""
-    filled = filled_essays(essays)
-    features = add_features(filled.select("essay_id", "full_text")).drop("full_text")
-    frame = encoded_essays(filled).join(features, "essay_id").join(
+                   columns: Sequence[str] = EXPERIMENT_COLUMNS,
+                   features: DataFrame | None = None) -> DataFrame:
+    """Word count, text features and the five similarity columns, penalised regression.
+
+    ``features`` is a ready table of essay_id and the ten features; without it they are computed.
+    """
+    filled = filled_essays(essays, settings.sort_keys)
+    if features is None:
+        features = add_features(filled.select("essay_id", "full_text")).drop("full_text")
+    given = features.select("essay_id", *FEATURES)
+    frame = encoded_essays(filled).join(given, "essay_id").join(
         similarity_table(filled, lexicon, settings), "essay_id")
     return grade_models(stage(frame, "full"), columns, settings, "experiment", "similarity")

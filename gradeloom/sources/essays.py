@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gradeloom.functions.constants import MAX_SCORE, MIN_SCORE
 from gradeloom.functions.text import blank_word_count
+from gradeloom.operators.features import FEATURES
 from gradeloom.operators.ranking import ntile_of, number_rows
-from gradeloom.sources.staging import settle
+from gradeloom.sources.staging import settle, stage
 from gradeloom.sources.tables import spread, table
 
 ESSAY_SCHEMA = T.StructType([
@@ -27,15 +28,57 @@ ESSAY_SCHEMA = T.StructType([
 ])
 
 
+FEATURE_SCHEMA = T.StructType([
+    T.StructField("essay_id", T.LongType()),
+    *(T.StructField(name, T.DoubleType() if name.startswith("avg_") else T.LongType())
+      for name in FEATURES),
+    T.StructField("similarity_score", T.DoubleType()),
+])
+# Cells that stand for a missing value.
+MISSING = ("", "NA", "NaN", "nan")
+
+
+def _typed(name: str, kind: T.DataType):
+    cell = F.when(~F.trim(F.col(name)).isin(*MISSING), F.col(name))
+    if isinstance(kind, T.LongType):
+        # Tools that know no missing integers write 3 as 3.0.
+        whole = cell.try_cast("bigint")
+        return F.coalesce(whole, cell.cast("double").cast("bigint")).alias(name)
+    return cell.cast(kind).alias(name)
+
+
 def read_essays_csv(spark: SparkSession, path: str, schema: T.StructType = ESSAY_SCHEMA) -> DataFrame:
-    """Header CSV with quoted, possibly multi-line texts; empty cells are null.
+    """Header CSV with quoted, possibly multi-line texts, read by column name.
 
-    Quoted line breaks make a single CSV file unsplittable: ship many files, or convert to
-    parquet once.
+    Columns may stand in any order, further ones are left out, and a missing one is an error,
+    except ``row_id``, which is then the position in file order (files by name). Empty cells and
+    ``NA``, ``NaN``, ``nan`` are null; a number that is none fails the job. ``essay_id`` stays
+    text if any id is no whole number. Quoted line breaks make a single CSV file unsplittable:
+    ship many files, or convert to parquet once.
     """
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("quote", '"').option("escape", '"').option("mode", "FAILFAST")
-            .csv(path))
+    raw = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
+           .option("escape", '"').option("mode", "FAILFAST").option("enforceSchema", False)
+           .csv(path))
+    fields = {f.name: f.dataType for f in schema.fields}
+    absent = [n for n in fields if n not in raw.columns and n != "row_id"]
+    if absent:
+        raise ValueError(f"columns missing in {path}: {', '.join(absent)}")
+    if isinstance(fields.get("essay_id"), T.LongType):
+        words = F.col("essay_id").isNotNull() & F.col("essay_id").try_cast("bigint").isNull()
+        if not raw.where(words & ~F.trim("essay_id").isin(*MISSING)).isEmpty():
+            fields["essay_id"] = T.StringType()
+    held = [_typed(n, kind) for n, kind in fields.items() if n in raw.columns]
+    if "row_id" not in fields or "row_id" in raw.columns:
+        return raw.select(*held)
+    placed = stage(raw.select(*held, F.col("_metadata.file_path").alias("_file"),
+                              F.monotonically_increasing_id().alias("_at")), "csv")
+    rank = number_rows(placed.select("_file", "_at"), [], ["_file", "_at"], rank="row_id")
+    return placed.join(rank.drop("_file"), "_at").select(*fields)
+
+
+def read_features_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A ready feature table for the runs: essay_id, the ten features, similarity_score."""
+    return read_essays_csv(spark, path, FEATURE_SCHEMA)
 
 
 def write_essays_csv(essays: DataFrame, path: str) -> None:

@@ -44,37 +44,21 @@ def test_kappa_edges(spark):
 
 
 def test_kappa_does_not_overflow(spark):
-    # 10^10 rows in 36 cells cannot be listed; their sums can.
-    sums = spark.sql("select 10000000000L n, 36L * 10000000000L stt")
-    got = sums.select((F.col("n").cast("decimal(19,0)") * F.col("stt").cast("decimal(19,0)"))
-                      .cast("double").alias("v")).first().v
-    assert got == 3.6e21
-
-
-def plain_shifted(truth, predicted, classes=6):
-    top = classes - 1
-    o = np.zeros((top, top))
-    for t, p in zip(truth, predicted):
-        if t <= top and p <= top:
-            o[t - 1, p - 1] += 1
-    if not o.sum():
-        return 0.0
-    w = np.subtract.outer(np.arange(top), np.arange(top)) ** 2
-    r, c, n = o.sum(1), o.sum(0), o.sum()
-    seen, wanted = (w * o).sum(), (w * np.outer(r, c)).sum() / n
-    below = (w * np.outer(r, r)).sum() / n - wanted
-    if abs(below) < 1e-10:
-        return 1.0 if seen == wanted else 0.0
-    return 1 - (seen - wanted) / below
+    # 10^10 rows: observed 25 * 2e9, expected 2 * 25 * 5e9 * 5e9 / 1e10.
+    cells = [("p", 1, 1, 4 * 10**9), ("p", 6, 6, 4 * 10**9), ("p", 1, 6, 10**9), ("p", 6, 1, 10**9)]
+    table = spark.createDataFrame(cells, "g string, score int, predicted int, rows bigint")
+    got = mt.quadratic_weighted_kappa(table, ["g"], counted=True).first().kappa
+    assert got == pytest.approx(0.6, abs=1e-12)
 
 
 @pytest.mark.parametrize("by", [["g"], []])
-def test_shifted_kappa(spark, by):
-    rng = np.random.default_rng(5)
-    truth, predicted = rng.integers(1, 7, 200).tolist(), rng.integers(1, 7, 200).tolist()
-    for t, p in ((truth, predicted), ([6, 6], [6, 1]), ([2, 2], [2, 2]), ([1, 2, 3], [3, 1, 2])):
-        got = mt.shifted_kappa(pairs(spark, t, p), by).first().kappa
-        assert got == pytest.approx(plain_shifted(t, p), abs=1e-9)
+@pytest.mark.parametrize("truth, predicted, value", [
+    ([1, 2, 2, 5], [1, 1, 3, 4], 7.5),  # observed 3, expected 64 / 4, own 72 / 4
+    ([1, 2, 2, 5, 6], [1, 1, 3, 4, 6], 7.5),  # the highest grade is out of range
+    ([6, 6], [6, 1], 0.0), ([2, 2], [2, 2], 1.0), ([1, 2, 3], [3, 1, 2], 0.0)])
+def test_shifted_kappa(spark, by, truth, predicted, value):
+    got = mt.shifted_kappa(pairs(spark, truth, predicted), by).first().kappa
+    assert got == pytest.approx(value, abs=1e-9)
 
 
 def test_shifted_kappa_needs_ratings(spark):
@@ -88,7 +72,13 @@ def test_metrics_accept_the_confusion_table(spark):
     for metric in (mt.quadratic_weighted_kappa, mt.shifted_kappa, mt.accuracy, mt.evaluate,
                    mt.class_report, mt.grade_distribution):
         assert sorted(map(str, metric(df, ["g"]).collect())) == sorted(
-            map(str, metric(table, ["g"]).collect()))
+            map(str, metric(table, ["g"], counted=True).collect()))
+
+
+def test_a_column_named_rows_is_no_confusion_table(spark):
+    df = pairs(spark, [1, 2], [1, 3]).withColumn("rows", F.lit(5))
+    assert mt.accuracy(df, ["g"]).first().accuracy == 0.5
+    assert sum(r.rows for r in mt.confusion(df, ["g"]).collect()) == 2
 
 
 def test_weighted_accuracy_needs_every_weight(spark):
@@ -164,3 +154,10 @@ def test_correlations_drop_nulls_per_pair(spark):
     assert got[("a", "b")] == pytest.approx(1) and got[("c", "a")] == pytest.approx(
         np.corrcoef([1, 3, 4], [1, 0, 5])[0, 1])
     assert len(got) == 9
+
+
+def test_histogram_of_no_values(spark):
+    df = spark.createDataFrame([(None,)], "x double")
+    for given in (df, df.where("x > 0")):
+        got = [tuple(r) for r in pf.histogram(given, "x", 2).orderBy("bin").collect()]
+        assert got == [(0, 0.0, 0), (1, 0.5, 0)]

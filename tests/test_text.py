@@ -86,7 +86,7 @@ def test_spelling_against_a_dictionary(spark):
     df = spark.createDataFrame([(1, "good baad baad"), (2, "good")], "d bigint, t string")
     known = spark.createDataFrame([("good",)], "token string")
     got = {r.d: r.unknown_words for r in unknown_word_counts(df, "d", "t", known).collect()}
-    assert got == {1: 2}
+    assert got == {1: 2, 2: 0}
 
 
 def test_null_text_reads_as_empty(spark):
