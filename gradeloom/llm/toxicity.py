@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from gradeloom.llm.common import worker_state
 
 SAMPLE_ROWS = 8192
-FEATURES = 512
+FEATURES = 96
 FOLDS = 5
 RIDGE = 1.0
 PREFIXES = (4, 5)
