@@ -20,7 +20,8 @@ HEADLINE = [
     "bigram_similarity", "set_similarity", "content_similarity", "bell_curve_grades",
     "filled_essays", "encoded_essays", "stratified_split", "weighted_kappa", "class_report",
     "nearest_neighbours", "neighbour_grades", "describe_lineitem", "lineitem_correlations",
-    "price_histogram", "baseline_run", "main_run",
+    "price_histogram", "baseline_run", "main_run", "experiment_run", "penalised_logistic_grades",
+    "csv_scan",
 ]
 
 
