@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -64,6 +65,15 @@ def worker_state(key: str, build: Callable[[], object]) -> object:
     return found
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are over.
+
+    It does so once the driver has collected their plans, which may take long by itself.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 # pandas turns integers with nulls into doubles, which would round large ids: a null id visits
 # Python as the smallest integer.
 NO_ID = -2**63

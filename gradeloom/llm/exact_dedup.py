@@ -16,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeloom.llm.common import Scratch
+from gradeloom.llm.common import Scratch, release_shuffles
 
 FIRST_BLOCK = 256
 WIDEST_BLOCK = 1 << 16
@@ -86,6 +86,8 @@ def without_copies(docs: DataFrame) -> DataFrame:
     kept = exact_duplicates(docs).where("kept").select(
         F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
     kept = Scratch(docs.sparkSession, "kept").write(kept, "ids")
+    # The texts are shuffled once more: first let go of the rounds' shuffles, which are done with.
+    release_shuffles(docs.sparkSession)
     marked = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), F.sha2(
         normalised(F.col("text")).cast("binary"), 256).alias("_sha"))
     same = marked["_id"].eqNullSafe(kept["_kept_id"]) & (marked["_sha"] == kept["_kept_sha"])
