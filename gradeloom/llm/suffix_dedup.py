@@ -31,7 +31,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.llm.common import Scratch, hidden_id, shown_id
+from gradeloom.llm.common import Scratch, hidden_id, release_shuffles, shown_id
 
 WIDTH = 50
 LEAD = 16
@@ -40,7 +40,8 @@ RANGE_BYTES = 6 << 20
 MAX_RANGES = 4096
 SAMPLED_DOCS = 2048
 SAMPLED_ANCHORS = 64
-CHUNK = 2 << 20
+CHUNK = 1 << 20
+LEVEL = 3
 LAST = 2**63 - 1
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -76,6 +77,12 @@ def words(raw: np.ndarray) -> np.ndarray:
     return part
 
 
+def leading_words(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ``LEAD`` bytes from some positions as pairs of numbers in byte order."""
+    lead = raw[at[:, None] + np.arange(LEAD, dtype=np.int32)]
+    return lead.view(">u8").astype(np.uint64)
+
+
 def anchors(hashes: np.ndarray, span: int) -> np.ndarray:
     """Position of the leftmost smallest of the ``span`` hashes from every position."""
     best, where, size = hashes, np.arange(len(hashes), dtype=np.int32), 1
@@ -117,18 +124,19 @@ class Records:
         fits = sizes >= width
         np.add.at(inside, self.begin[fits], 1)
         np.add.at(inside, (self.begin + sizes - width + 1)[fits], -1)
-        place = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+        place = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int32) > 0)
         if not len(place):
             return
         at = at[place]
+        del inside
         cut = np.flatnonzero((np.diff(at) != 0) | (np.diff(place) != 1)) + 1
         first = np.concatenate([[0], cut])
         self.low = place[first]
         self.high = place[np.concatenate([cut, [len(place)]]) - 1]
         self.anchor = at[first].astype(np.int64)
         self.owner = np.searchsorted(self.begin, self.low, "right") - 1
-        order = words(flat)
-        self.lead = order[self.anchor], order[self.anchor + 8]
+        pair = leading_words(flat, self.anchor)
+        self.lead = pair[:, 0], pair[:, 1]
 
 
 class Ranges:
@@ -164,7 +172,7 @@ def _pack(squeeze, doc, copy, lead_at, size, counts, places, content: bytes) ->
         np.ascontiguousarray(doc, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes(),
         np.ascontiguousarray(copy, "<i8").tobytes(), lead_at.astype("<u2").tobytes(),
         size.astype("<u2").tobytes(), counts.astype("<u4").tobytes(),
-        places.astype("<u4").tobytes(), content)))
+        places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), content)))
 
 
 def _unpack(blob: bytes) -> tuple:
@@ -174,9 +182,11 @@ def _unpack(blob: bytes) -> tuple:
     doc = np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T.copy().view("<i8").ravel()
     at += 8 * n
     out = [doc]
-    for kind, k in (("<i8", n), ("<u2", n), ("<u2", n), ("<u4", n), ("<u4", p)):
+    for kind, k in (("<i8", n), ("<u2", n), ("<u2", n), ("<u4", n)):
         out.append(np.frombuffer(raw, kind, k, at))
         at += np.dtype(kind).itemsize * k
+    out.append(np.frombuffer(raw, np.uint8, 4 * p, at).reshape(4, p).T.copy().view("<u4").ravel())
+    at += 4 * p
     return (*out, raw[at:at + c])
 
 
@@ -235,7 +245,7 @@ def _window_rows(docs: list[tuple[int, int, int, bytes]], ranges: Ranges, width:
     counts = np.diff(np.append(heads, len(at)))
     one = at[heads]
     edges = np.flatnonzero(np.diff(target[one])) + 1
-    squeeze = zstandard.ZstdCompressor(level=1)
+    squeeze = zstandard.ZstdCompressor(level=LEVEL)
     rows = []
     begins = np.concatenate([[0], np.cumsum(counts)])
     for part in np.split(np.arange(len(one)), edges):
@@ -276,9 +286,7 @@ def repeated_in_range(blobs: list[bytes], width: int, chunk: int = CHUNK) -> lis
     del parts
     begin = np.cumsum(size) - size
     place_at = np.cumsum(counts, dtype=np.int64) - counts
-    lead = (begin + lead_at)[:, None] + np.arange(LEAD)
-    pair = np.ascontiguousarray(content[lead]).view(">u8").astype(np.uint64)
-    del lead
+    pair = leading_words(content, begin + lead_at)
     order = np.lexsort((pair[:, 1], pair[:, 0]))
     one, two = pair[order, 0], pair[order, 1]
     new = np.ones(len(order), bool)
@@ -499,6 +507,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH,
         F.expr("transform(runs, r -> r.start)").alias("starts"),
         F.expr("transform(runs, r -> r.end)").alias("ends")), "lists")
 
+    # The texts are shuffled next: first let go of the records' shuffle, which is done with.
+    release_shuffles(docs.sparkSession)
+
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             done = [_cut(raw, np.stack([starts, ends], axis=1) if starts is not None
