@@ -17,6 +17,9 @@ from gradeloom.llm.queries import CATEGORIES, TARGETS, category_labels, domain_l
 from gradeloom.llm.simhash import one_of_each
 from gradeloom.llm.toxicity import labelled_chain, scored
 
+# Domains of TARGETS that the toxicity stage takes out.
+REMOVED = ("toxic",)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain does not call toxic; the chain learns from the labelled ones."""
@@ -37,9 +40,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents at rates that bring the label classes to their target weights.
 
-    A document may stay out, stay once or come several times.
+    A document may stay out, stay once or come several times. The first stage removes toxic
+    documents, so that class has no target here and is only told apart, by what the labelled
+    documents were before that stage; what it missed is never copied.
     """
-    return mixed(docs, domain_labels(spark, sf_dir), TARGETS)
+    targets = {d: w for d, w in TARGETS.items() if d not in REMOVED}
+    return mixed(docs, domain_labels(spark, sf_dir), targets, removed=REMOVED,
+                 examples=spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

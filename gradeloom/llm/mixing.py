@@ -19,7 +19,7 @@ domain that set it apart best in the labelled sample.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -150,14 +150,17 @@ def with_posteriors(rows: DataFrame, markers: list[str], prior: list[float],
         "raised", lambda x: F.round(x / F.col("sum"), 4)).alias("posteriors"))
 
 
-def _rates(p: Column, history: list[list[float]], pull: float) -> Column:
-    """Rate after the steps of ``history``: one vector over the domains per step."""
+def _rates(p: Column, most: Column, history: list[list[float]], pull: float) -> Column:
+    """Rate after the steps of ``history``: one vector over the domains per step.
+
+    ``most`` is the largest rate allowed, null if there is none.
+    """
     if not history:
         return F.lit(1.0)
 
     def move(r: Column, g: Column) -> Column:
         slope = F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        return F.greatest(F.lit(0.0), r - (slope + pull * (r - 1.0)) / (1.0 + pull))
+        return F.least(most, F.greatest(F.lit(0.0), r - (slope + pull * (r - 1.0)) / (1.0 + pull)))
 
     return F.aggregate(F.array(*(F.array(*map(F.lit, g)) for g in history)), F.lit(1.0), move)
 
@@ -166,9 +169,24 @@ def _domain_sums(q: Column, weight: Column, domains: int) -> list[Column]:
     return [F.coalesce(F.sum(weight * F.element_at(q, i + 1)), F.lit(0.0)) for i in range(domains)]
 
 
+def _bounded(rows: DataFrame, labelled: DataFrame, domains: list[str],
+             removed: Collection[str]) -> DataFrame:
+    """Add ``most``: 1 for rows labelled as, or likeliest to be, of a removed domain, else null."""
+    if not removed:
+        return rows.withColumn("most", F.lit(None).cast("double"))
+    of = [F.element_at("posteriors", i + 1) for i, d in enumerate(domains) if d in removed]
+    known = labelled.where("doc_id is not null").where(F.col("domain").isin(*removed)).select(
+        F.col("doc_id").alias("_known")).distinct()
+    likeliest = F.array_max(F.array(*of)) >= F.array_max("posteriors")
+    return rows.join(known, F.col("doc_id") == F.col("_known"), "left").select(
+        "doc_id", "tokens", "posteriors",
+        F.when(F.col("_known").isNotNull() | likeliest, F.lit(1.0)).alias("most"))
+
+
 def soft_mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float],
              budget: float | None = None, sample_rows: int = SAMPLE_ROWS, markers: int = MARKERS,
-             pull: float = PULL, steps: int = STEPS) -> DataFrame:
+             pull: float = PULL, steps: int = STEPS, removed: Collection[str] = (),
+             examples: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang, source): doc_id, tokens, posteriors, rate.
 
     ``labelled`` has doc_id and domain, ``targets`` the weight of each domain (any positive scale),
@@ -177,39 +195,56 @@ def soft_mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float],
     rate by their posterior like others; a null language or source is a level of its own. Ids may
     be null or repeat. A domain without labels keeps its smoothed prior. Without tokens or
     labels every rate is 1. Other columns are ignored; an empty table gives an empty table.
+
+    ``removed`` are domains without a target that an earlier step took out. They have posteriors,
+    their tokens are in no target, and a document that is labelled as one of them, or likeliest to
+    be, gets no rate above 1. The budget then counts the tokens of the other domains. ``examples``
+    are the documents that labels are joined to, with the columns of ``docs``, if not ``docs``.
     """
     if not targets or min(targets.values()) <= 0:
         raise ValueError("targets need positive weights")
-    domains = sorted(targets)
+    if set(removed) & set(targets):
+        raise ValueError("a removed domain has no target")
+    domains = sorted({*targets, *removed})
+    aimed = [i for i, d in enumerate(domains) if d in targets]
     scratch = Scratch(docs.sparkSession, "mix")
     docs = docs.select("doc_id", "text", "lang", "source")
-    sample = scratch.write(_sample(docs, labelled, sample_rows), "sample")
+    held = docs if examples is None else examples.select(*docs.columns)
+    sample = scratch.write(_sample(held, labelled, sample_rows), "sample")
     words = marker_words(sample, domains, markers)
     prior, model = level_model(sample, domains, words)
-    rows = scratch.write(with_posteriors(docs, words, prior, model), "posteriors")
-    cells = scratch.write(rows.groupBy("posteriors").agg(F.sum("tokens").alias("tokens")), "cells")
-    q, n = F.col("posteriors"), len(domains)
+    rows = scratch.write(_bounded(with_posteriors(docs, words, prior, model), labelled, domains,
+                                  removed), "posteriors")
+    cells = scratch.write(rows.groupBy("posteriors", "most").agg(F.sum("tokens").alias("tokens")),
+                          "cells")
+    q, most, n = F.col("posteriors"), F.col("most"), len(domains)
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    size = budget if budget is not None else total
     history: list[list[float]] = []
     if total and not sample.isEmpty():
-        wanted = np.array([targets[d] for d in domains]) / sum(targets.values()) * size / total
+        mass = F.col("tokens") / total
+        size = budget / total if budget is not None else 1.0
+        if budget is None and removed:
+            there = cells.agg(*_domain_sums(q, mass, n)).first()
+            size = sum(there[i] for i in aimed)
+        wanted = np.array([targets[domains[i]] for i in aimed]) / sum(targets.values()) * size
         before = None
         for _ in range(steps):
-            rate = _rates(q, history, pull)
-            mass = F.col("tokens") / total
-            sums = cells.withColumn("rate", rate).agg(
-                *_domain_sums(q, mass * F.col("rate"), n),
+            rate = F.col("rate")
+            free = (rate > 0) & (most.isNull() | (rate < most))
+            sums = cells.withColumn("rate", _rates(q, most, history, pull)).agg(
+                *_domain_sums(q, mass * rate, n),
                 *(x for i in range(n) for x in _domain_sums(
-                    q, F.when(F.col("rate") > 0, mass * F.element_at(q, i + 1)), n))).first()
-            off = np.array(sums[:n]) - wanted
+                    q, F.when(free, mass * F.element_at(q, i + 1)), n))).first()
+            off = np.array(sums[:n])[aimed] - wanted
             if before is not None and np.abs(off - before).max() < TOLERANCE:
                 break
             # In the metric of the inverse second moments the curvature is 1.
-            moments = np.array(sums[n:]).reshape(n, n)
-            history.append(np.linalg.solve(moments + FLOOR * np.eye(n), off).tolist())
+            moments = np.array(sums[n:]).reshape(n, n)[np.ix_(aimed, aimed)]
+            step = np.zeros(n)
+            step[aimed] = np.linalg.solve(moments + FLOOR * np.eye(len(aimed)), off)
+            history.append(step.tolist())
             before = off
-    rate = _rates(q, history, pull)
+    rate = _rates(q, most, history, pull)
     return rows.select("doc_id", "tokens", "posteriors", F.round(rate, 6).alias("rate"))
 
 

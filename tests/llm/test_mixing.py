@@ -65,6 +65,20 @@ def test_mix_draws_by_rate_and_keeps_columns(spark, folder):
     assert abs(sum(times.values()) - sum(rate.values())) < 5 * len(rate) ** .5
 
 
+def test_a_removed_domain_bends_no_rate(spark, folder):
+    """Without its documents the others meet their targets, with posteriors of all labels."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    known = labels(spark, folder)
+    left = docs.join(known.where("domain = 'toxic'"), "doc_id", "left_anti")
+    targets = {"high": 0.90, "low": 0.08}
+    rows = soft_mix(left, known, targets, removed=["toxic"], examples=docs).collect()
+    n, p = np.array([r.tokens for r in rows], float), np.array([r.posteriors for r in rows])
+    rate = np.array([r.rate for r in rows])
+    got = (n * rate) @ p[:, :2] / (n @ p[:, :2].sum(axis=1))
+    assert np.abs(got - np.array([.90, .08]) / .98).max() < .005
+    assert (rate[p[:, 2] >= p.max(axis=1)] <= 1).all() and rate.max() < 3
+
+
 def test_awkward_documents(spark):
     docs = awkward(spark, [None, "", "w " * 60_000, "a b", "a b"])
     none = spark.createDataFrame([], "doc_id bigint, domain string")

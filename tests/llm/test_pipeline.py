@@ -1,3 +1,5 @@
+from collections import Counter
+
 import corpus_pipeline
 import pytest
 
@@ -57,6 +59,20 @@ def test_near_copies_go(stages):
     assert ids(stages[3]) == sorted({groups.find(i) for i, _ in prints})
 
 
+def test_mixing_copies_no_toxic_document(spark, folder, stages):
+    """Toxic documents that the first stage missed stay at most once, labelled or not."""
+    toxic = spark.read.parquet(f"{folder}/labels.parquet").where("toxic = 1").select("doc_id")
+    missed = stages[0].join(toxic, "doc_id").orderBy("doc_id").limit(4).select(*stages[0].columns)
+    other = missed.withColumn("doc_id", missed["doc_id"] + 10**9)
+    known = {r.doc_id for r in missed.collect()}
+    docs = stages[3].join(missed.select("doc_id"), "doc_id", "left_anti").select(
+        *stages[0].columns).unionByName(missed).unionByName(other)
+    times = Counter(ids(corpus_pipeline.mix(spark, docs, folder)))
+    assert known and max(times.values()) > 1
+    assert all(times[k] <= 1 for r in toxic.collect() for k in (r.doc_id,))
+    assert all(times[k + 10**9] <= 1 for k in known)
+
+
 def test_mixed_documents_are_all_packed(stages):
     assert set(ids(stages[4])) <= set(ids(stages[3]))
     got = stages[5].collect()
