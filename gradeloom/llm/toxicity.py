@@ -3,7 +3,8 @@
 Categories are predicted one after the other. The model of a category sees the words of the text
 and the probabilities of all earlier categories. Training uses out-of-fold probabilities for
 those inputs, so a later model meets earlier predictions as unsure as they will be on new
-texts; scoring uses the models fitted on the whole sample.
+texts; scoring uses the models fitted on the whole sample. The number of features of a link is chosen by
+the out-of-fold loss inside the labelled sample: it doubles for as long as that improves.
 
 The fit takes at most ``sample_rows`` labelled documents, a documented bound: they are the first
 ones by a hash of the id, so the choice does not depend on the order of the table. Features are
@@ -25,6 +26,10 @@ from gradeloom.llm.common import worker_state
 
 SAMPLE_ROWS = 8192
 FEATURES = 96
+# So many doublings of the features in a row without a better loss end the search.
+PATIENCE = 2
+# What the dense design of the sample may hold: 8192 x 3072 doubles are 200 MB on the driver.
+MAX_FEATURES = 3072
 FOLDS = 5
 RIDGE = 1.0
 PREFIXES = (4, 5)
@@ -84,8 +89,8 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def _select(flat: np.ndarray, owner: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` features with the largest chi-square against ``y``, smaller hash first on ties."""
+def _ranked(flat: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Features by falling chi-square against ``y``, smaller hash first on ties."""
     hashes, back = np.unique(flat, return_inverse=True)
     seen = np.bincount(back)
     hits = np.bincount(back, y[owner])
@@ -94,8 +99,8 @@ def _select(flat: np.ndarray, owner: np.ndarray, y: np.ndarray, n: int) -> np.nd
     spread = expected * (1 - positive / total) * np.maximum(1 - seen / total, 1 / total)
     score = (hits - expected) ** 2 / np.maximum(spread, 1e-9)
     score[seen < 3] = 0
-    best = np.lexsort((hashes, -score))[:n]
-    return np.sort(hashes[best[score[best] > 0]])
+    best = np.lexsort((hashes, -score))[:MAX_FEATURES]
+    return hashes[best[score[best] > 0]]
 
 
 def _design(flat: np.ndarray, owner: np.ndarray, rows: int, hashes: np.ndarray) -> np.ndarray:
@@ -140,6 +145,7 @@ def fit_chain(names: Sequence[str], labels: np.ndarray, sparse: Sequence[np.ndar
               ridge: float = RIDGE) -> list[Link]:
     """Links for the columns of ``labels`` (0/1, one row per document), in order.
 
+    ``n_features`` is the smallest number of features that is tried.
     A category with one value only gets a constant link that never fires.
     """
     rows = len(sparse)
@@ -157,22 +163,38 @@ def fit_chain(names: Sequence[str], labels: np.ndarray, sparse: Sequence[np.ndar
             before = np.hstack([before, np.full((rows, 1), _logit(np.array(rate)))])
             continue
 
-        def train(use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def ranked(use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             part = use[owner]
-            index = np.cumsum(use) - 1
-            hashes = _select(flat[part], index[owner[part]], y[use], n_features)
-            x = _design(flat[part], index[owner[part]], int(use.sum()), hashes)
+            spot, of = flat[part], (np.cumsum(use) - 1)[owner[part]]
+            return _ranked(spot, of, y[use]), spot, of
+
+        def train(use: np.ndarray, known: tuple, n: int) -> tuple[np.ndarray, np.ndarray]:
+            order, spot, of = known
+            hashes = np.sort(order[:n])
+            x = _design(spot, of, int(use.sum()), hashes)
             return hashes, _fit(np.hstack([x, before[use]]), y[use], ridge)
 
-        held_out = np.full(rows, (y.sum() + 0.5) / (rows + 1))
-        for f in range(folds):
-            rest, out = fold != f, fold == f
-            if not out.any() or not 0 < y[rest].sum() < rest.sum():
-                continue
-            hashes, w = train(rest)
-            x = np.hstack([_design(flat, owner, rows, hashes)[out], before[out]])
-            held_out[out] = _sigmoid(x @ w[:-1] + w[-1])
-        hashes, w = train(np.ones(rows, bool))
+        parts = [(fold != f, fold == f) for f in range(folds)]
+        parts = [(rest, out, ranked(rest)) for rest, out in parts
+                 if out.any() and 0 < y[rest].sum() < rest.sum()]
+        every = ranked(np.ones(rows, bool))
+        longest = max(len(known[0]) for known in [every, *(p[2] for p in parts)])
+        best, size, worse = None, n_features, 0
+        while worse < PATIENCE:
+            guess = np.full(rows, (y.sum() + 0.5) / (rows + 1))
+            for rest, out, known in parts:
+                hashes, w = train(rest, known, size)
+                x = np.hstack([_design(flat, owner, rows, hashes)[out], before[out]])
+                guess[out] = _sigmoid(x @ w[:-1] + w[-1])
+            loss = -np.log(np.clip(np.where(y == 1, guess, 1 - guess), 1e-12, 1)).mean()
+            worse = worse + 1 if best and loss >= best[0] else 0
+            if not worse:
+                best = loss, size, guess
+            if size >= longest:
+                break
+            size *= 2
+        _, size, held_out = best
+        hashes, w = train(np.ones(rows, bool), every, size)
         n = len(hashes)
         links.append(Link(name, hashes, w[:n], w[n:-1], float(w[-1]), _best_cut(held_out, y)))
         before = np.hstack([before, _logit(held_out)[:, None]])

@@ -54,6 +54,23 @@ def test_given_documents(spark):
     assert hits / (hits + missed) > .88 and hits / (hits + false) > .9
 
 
+def test_toxic_wording_of_many_words():
+    """Each of 150 words marks few documents: 96 features hold about a third of them."""
+    rng, rows = random.Random(5), []
+    marks = ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=6)) for _ in range(150)]
+    for i in range(4500):
+        words, toxic = rng.choices(CLEAN, k=rng.randrange(8, 40)), i % 3 == 0
+        if toxic:
+            words[rng.randrange(len(words))] = rng.choice(marks)
+        rows.append((" ".join(words), int(toxic)))
+    y = np.array([t for _, t in rows])
+    (link,) = tx.fit_chain(["toxic"], y[:3000, None], [tx.features(t) for t, _ in rows[:3000]],
+                           np.arange(3000))
+    called = tx.probabilities([link], [t for t, _ in rows[3000:]], {})[:, 0] > link.cut
+    assert len(link.hashes) > 96
+    assert called[y[3000:] == 1].mean() > .95 and y[3000:][called].mean() > .97
+
+
 def test_later_links_use_out_of_fold_probabilities():
     rows = sample(400, 3)
     sparse = [tx.features(t) for _, t, _, _ in rows]
