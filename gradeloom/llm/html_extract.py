@@ -15,6 +15,8 @@ without class or id inside an article are the author's text and are never cut.
 Importance can't tell rotating adverts, menus or link lists from content, because their
 wording differs from page to page. Elements whose tag, role, class or id declares such a part
 are therefore left out as well, and where a page marks its article, the text is taken from it.
+A form or a container of that name that holds most of the page's own text, links aside, is a
+wrapper and stays; an article that is left out itself or stands in such a part isn't the page's.
 
 Pages are read twice, once for the statistics and once for the text. Statistics are 64-bit
 hashes, counted with map-side combine; the table that meets the pages again has one row per host
@@ -58,6 +60,12 @@ NOT_MAIN_WORDS = frozenset(
     "newsletter notice notices overlay pager pagination popup promo promos promotion related reply "
     "replies share sharing sidebar sidebars signup skip social sponsor sponsored subscribe "
     "subscription toolbar widget widgets".split())
+# Tags that are never a wrapper of the page, and parts that may be longer than the story.
+PARTS = frozenset("nav aside footer header button select option optgroup datalist dialog menu "
+                  "search label input".split())
+TALK_WORDS = frozenset("comment comments disqus reply replies related".split())
+# Names that say how a wrapper looks, or which parts it goes with, declare nothing.
+STATE = re.compile(r"(?:has|with|without|no)-\S*|\S*-(?:open|closed|enabled|disabled)", re.I)
 HEADER_WORDS = frozenset("header masthead topbar".split())
 NOT_MAIN_ROLES = frozenset("navigation banner complementary contentinfo search form dialog "
                            "alertdialog alert menu menubar toolbar status".split())
@@ -87,7 +95,7 @@ DIGITS = re.compile(r"\d{3,}")
 class Node:
     """One element. ``style`` is the hash of its path in the host's style tree."""
 
-    __slots__ = ("tag", "parent", "children", "style", "attributed", "cut", "main")
+    __slots__ = ("tag", "parent", "children", "style", "attributed", "cut", "main", "wraps")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
@@ -104,7 +112,8 @@ class Node:
         role = found.get("role", "").lower()
         self.main = inside or tag in ("article", "main") or role in (
             "main", "article") or "articleBody" in found.get("itemprop", "")
-        words = {w.lower() for w in NAME_WORDS.findall(names)} if self.attributed else set()
+        telling = " ".join(x for x in names.split() if not STATE.fullmatch(x))
+        words = {w.lower() for w in NAME_WORDS.findall(telling)}
         if words and "comments" not in words and "no" in words:
             words = set()
         self.cut = tag in NO_TEXT or "hidden" in found or found.get("aria-hidden") == "true" or bool(
@@ -115,6 +124,10 @@ class Node:
                 layout = layout or tag == "header" or bool(words & HEADER_WORDS)
             # 2: left out by what it declares to be, unless the article turns out to be in it.
             self.cut = 1 if self.cut else 2 if layout else 0
+        # What a cut element may be instead: 1 a wrapper of the page, 2 only if nothing else is left.
+        self.wraps = 0
+        if self.cut == 2 and tag not in PARTS and (role == "form" or role not in NOT_MAIN_ROLES):
+            self.wraps = 2 if words & TALK_WORDS else 1
 
 
 def parse(page: str) -> Node:
@@ -227,19 +240,50 @@ def _above(node: Node) -> Iterator[Node]:
         node = node.parent
 
 
+def _spared(found: list[tuple[Node, str]]) -> set[int]:
+    """Ids of declared elements that wrap the page: they hold most of what is left to it."""
+    # Text by the innermost cut element around it; links are menus more often than text.
+    held: Counter[int] = Counter()
+    above: dict[int, list[int]] = {0: []}
+    nodes: dict[int, Node] = {}
+    for node, text in found:
+        up = list(_above(node))
+        cuts = [n for n in up if n.cut]
+        for i, n in enumerate(cuts):
+            if id(n) not in nodes:
+                nodes[id(n)] = n
+                above[id(n)] = [id(x) for x in cuts[i + 1:]] + [0]
+        if not any(n.tag == "a" for n in up):
+            held[id(cuts[0]) if cuts else 0] += len(text)
+    depth = {k: len(x) for k, x in above.items()}
+    spared: set[int] = set()
+    for last in (1, 2):
+        for k in sorted(nodes, key=lambda k: (-depth[k], -held[k])):
+            if nodes[k].wraps != last:
+                continue
+            # The rest of the page is what no cut takes that does not take this element as well.
+            rest = sum(held[x] for x in above[k])
+            if held[k] > rest if last == 1 else held[k] and not rest:
+                spared.add(k)
+                held[next(x for x in above[k] if x not in spared)] += held.pop(k)
+    return spared
+
+
 def _declared(found: list[tuple[Node, str]]) -> list[tuple[Node, str]]:
     """Blocks that no element above declares to be something else than main text."""
     outer = {id(n): n for node, _ in found if node.main for n in _above(node)
              if n.main and not n.parent.main}
-    # Articles inside comments or sidebars count only if there is no other.
-    clear = [n for n in outer.values() if not any(up.cut for up in _above(n))]
-    holders = {id(up) for n in clear or outer.values() for up in _above(n)}
+    spared = _spared(found) if any(n.wraps for node, _ in found for n in _above(node)) else set()
+    # Articles that are comments or teasers are not the page's.
+    clear = [n for n in outer.values()
+             if not any(up.cut and id(up) not in spared for up in _above(n))]
+    holders = {id(up) for n in clear for up in _above(n)}
     in_main = bool(holders)
     out = []
     for node, text in found:
         if in_main and not any(n.main and id(n) in holders for n in _above(node)):
             continue
-        if any(n.cut and id(n) not in holders for n in _above(node)):
+        if any(n.cut and id(n) not in holders and id(n) not in spared for n in _above(node)):
             continue
         out.append((node, text))
     return out

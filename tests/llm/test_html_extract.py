@@ -48,6 +48,27 @@ def test_small_pages(page, want):
     assert main_text(page) == want
 
 
+STORY = "<h1>Head</h1><p>A story of some length.</p>"
+TALK = "".join(f"<li class=comment><article class=comment-body><p>{i} I think that this is longer "
+               "than the story.</p></article></li>" for i in range(5))
+
+
+@pytest.mark.parametrize("page", [
+    f"<form id=aspnetForm><div class=menu><a href=x>{'menu ' * 30}</a></div>{STORY}</form>",
+    f"<form><div class=sidebar>side</div><div class=content>{STORY}</div></form>",
+    f"<div class='page with-sidebar'><div id=c>{STORY}</div><div class=sidebar>s</div></div>",
+    f"<div class='social-feed'>{STORY}</div><footer>f</footer>",
+    f"<div class='social-page'><form id=f>{STORY}</form></div>",
+    f"<div class=entry>{STORY}</div><div id=comments><ol>{TALK}</ol></div>",
+    f"<div class=entry>{STORY}</div><ol>{TALK}</ol>",
+    f"<div class=entry>{STORY}</div><aside><article>teaser</article></aside>",
+    f"<div class=sidebar><article>teaser</article></div><div>{STORY}</div>",
+    f"<form id=aspnetForm><article>{STORY}</article><p>out</p></form>",
+    f"<article class='post comments-open'>{STORY}</article><div id=comments>{TALK}</div>"])
+def test_wrappers_stay_and_comments_are_no_story(page):
+    assert main_text(page) == "Head\nA story of some length."
+
+
 def site(n, same="We use no layout names here", copies=0):
     """Pages whose frame has no telling name: only repetition gives it away."""
     rows = []
