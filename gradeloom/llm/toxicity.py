@@ -28,8 +28,9 @@ SAMPLE_ROWS = 8192
 FEATURES = 96
 # So many doublings of the features in a row without a better loss end the search.
 PATIENCE = 2
-# What the dense design of the sample may hold: 8192 x 3072 doubles are 200 MB on the driver.
+# The curvature of a fit is held dense on the driver: 3072 squared doubles are 75 MB.
 MAX_FEATURES = 3072
+CHUNK = 1024
 FOLDS = 5
 RIDGE = 1.0
 PREFIXES = (4, 5)
@@ -89,39 +90,51 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def _ranked(flat: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Features by falling chi-square against ``y``, smaller hash first on ties."""
-    hashes, back = np.unique(flat, return_inverse=True)
-    seen = np.bincount(back)
-    hits = np.bincount(back, y[owner])
-    total, positive = len(y), y.sum()
+def _ranked(back: np.ndarray, owner: np.ndarray, use: np.ndarray, y: np.ndarray,
+            n: int) -> np.ndarray:
+    """Features by falling chi-square against ``y`` over the rows of ``use``, smaller first on ties.
+
+    ``back`` numbers the ``n`` features in the order of their hashes, ``owner`` has their rows.
+    """
+    seen = np.bincount(back, use[owner], n)
+    hits = np.bincount(back, (use * y)[owner], n)
+    total, positive = use.sum(), y[use].sum()
     expected = seen * positive / total
     spread = expected * (1 - positive / total) * np.maximum(1 - seen / total, 1 / total)
     score = (hits - expected) ** 2 / np.maximum(spread, 1e-9)
     score[seen < 3] = 0
-    best = np.lexsort((hashes, -score))[:MAX_FEATURES]
-    return hashes[best[score[best] > 0]]
-
-
-def _design(flat: np.ndarray, owner: np.ndarray, rows: int, hashes: np.ndarray) -> np.ndarray:
-    out = np.zeros((rows, len(hashes)), np.float64)
-    if len(hashes):
-        at = np.minimum(np.searchsorted(hashes, flat), len(hashes) - 1)
-        hit = hashes[at] == flat
-        out[owner[hit], at[hit]] = 1
+    best = np.lexsort((np.arange(n), -score))[:MAX_FEATURES]
+    return best[score[best] > 0]
+
+
+def _design(back: np.ndarray, owner: np.ndarray, rows: int, chosen: np.ndarray,
+            n: int) -> np.ndarray:
+    """One byte per row and chosen feature."""
+    column = np.full(n, -1, np.int32)
+    column[chosen] = np.arange(len(chosen))
+    at = column[back]
+    hit = at >= 0
+    out = np.zeros((rows, len(chosen)), np.uint8)
+    out[owner[hit], at[hit]] = 1
     return out
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
-    """Weights of a penalised logistic regression by Newton steps; the bias comes last."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    penalty = np.full(x.shape[1], ridge)
+def _fit(x: np.ndarray, more: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+    """Weights of a penalised logistic regression by Newton steps; the bias comes last.
+
+    The columns are those of ``x`` (bytes) and ``more``; they are widened some rows at a time.
+    """
+    size = x.shape[1] + more.shape[1] + 1
+    penalty = np.full(size, ridge)
     penalty[-1] = 1e-3
-    w = np.zeros(x.shape[1])
+    w = np.zeros(size)
     for _ in range(12):
-        p = _sigmoid(x @ w)
-        slope = x.T @ (p - y) + penalty * w
-        curve = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty)
+        slope, curve = penalty * w, np.diag(penalty)
+        for i in range(0, len(x), CHUNK):
+            part = np.hstack([x[i:i + CHUNK], more[i:i + CHUNK], np.ones((len(x[i:i + CHUNK]), 1))])
+            p = _sigmoid(part @ w)
+            slope += part.T @ (p - y[i:i + CHUNK])
+            curve += (part * (p * (1 - p) + 1e-6)[:, None]).T @ part
         step = np.linalg.solve(curve, slope)
         w -= step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-4:
@@ -150,7 +163,10 @@ def fit_chain(names: Sequence[str], labels: np.ndarray, sparse: Sequence[np.ndar
     """
     rows = len(sparse)
     flat = np.concatenate(sparse) if rows else np.empty(0, np.uint32)
-    owner = np.repeat(np.arange(rows), [len(s) for s in sparse])
+    owner = np.repeat(np.arange(rows, dtype=np.int32), [len(s) for s in sparse])
+    every_hash, back = np.unique(flat, return_inverse=True)
+    back, n_all = back.astype(np.int32), len(every_hash)
+    del flat
     fold = np.array([zlib.crc32(str(k).encode()) % folds for k in keys], np.int64)
     links: list[Link] = []
     before = np.empty((rows, 0))
@@ -163,29 +179,25 @@ def fit_chain(names: Sequence[str], labels: np.ndarray, sparse: Sequence[np.ndar
             before = np.hstack([before, np.full((rows, 1), _logit(np.array(rate)))])
             continue
 
-        def ranked(use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            part = use[owner]
-            spot, of = flat[part], (np.cumsum(use) - 1)[owner[part]]
-            return _ranked(spot, of, y[use]), spot, of
-
-        def train(use: np.ndarray, known: tuple, n: int) -> tuple[np.ndarray, np.ndarray]:
-            order, spot, of = known
-            hashes = np.sort(order[:n])
-            x = _design(spot, of, int(use.sum()), hashes)
-            return hashes, _fit(np.hstack([x, before[use]]), y[use], ridge)
+        def train(use: np.ndarray, order: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+            """Features and weights from the rows of ``use``, and what they say of all rows."""
+            chosen = np.sort(order[:n])
+            x = _design(back, owner, rows, chosen, n_all)
+            w = _fit(x[use], before[use], y[use], ridge)
+            return every_hash[chosen], w, _sigmoid(
+                x @ w[:len(chosen)] + before @ w[len(chosen):-1] + w[-1])
 
         parts = [(fold != f, fold == f) for f in range(folds)]
-        parts = [(rest, out, ranked(rest)) for rest, out in parts
+        parts = [(rest, out, _ranked(back, owner, rest, y, n_all)) for rest, out in parts
                  if out.any() and 0 < y[rest].sum() < rest.sum()]
-        every = ranked(np.ones(rows, bool))
-        longest = max(len(known[0]) for known in [every, *(p[2] for p in parts)])
+        whole = np.ones(rows, bool)
+        order = _ranked(back, owner, whole, y, n_all)
+        longest = max(len(known) for known in [order, *(p[2] for p in parts)])
         best, size, worse = None, n_features, 0
         while worse < PATIENCE:
             guess = np.full(rows, (y.sum() + 0.5) / (rows + 1))
             for rest, out, known in parts:
-                hashes, w = train(rest, known, size)
-                x = np.hstack([_design(flat, owner, rows, hashes)[out], before[out]])
-                guess[out] = _sigmoid(x @ w[:-1] + w[-1])
+                guess[out] = train(rest, known, size)[2][out]
             loss = -np.log(np.clip(np.where(y == 1, guess, 1 - guess), 1e-12, 1)).mean()
             worse = worse + 1 if best and loss >= best[0] else 0
             if not worse:
@@ -194,7 +206,7 @@ def fit_chain(names: Sequence[str], labels: np.ndarray, sparse: Sequence[np.ndar
                 break
             size *= 2
         _, size, held_out = best
-        hashes, w = train(np.ones(rows, bool), every, size)
+        hashes, w, _ = train(whole, order, size)
         n = len(hashes)
         links.append(Link(name, hashes, w[:n], w[n:-1], float(w[-1]), _best_cut(held_out, y)))
         before = np.hstack([before, _logit(held_out)[:, None]])
