@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeloom.llm.common import documents
+from gradeloom.llm.divergence import source_divergence
 from gradeloom.llm.exact_dedup import exact_duplicates
+from gradeloom.llm.fill_middle import fill_in_middle, restored
 from gradeloom.llm.html_extract import extract_text
 from gradeloom.llm.license_scan import license_notices
 from gradeloom.llm.mixing import soft_mix
@@ -78,10 +80,23 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence(documents(spark, folder))
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_in_middle(documents(spark, folder))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_html_extraction, op2_license_scan, op3_suffix_dedup, op4_mixing,
-        op5_simhash_near_dedup, op6_exact_dedup, op7_topk_search, op8_token_counts, op9_toxicity, op10_packing)}
+        op5_simhash_near_dedup, op6_exact_dedup, op7_topk_search, op8_token_counts, op9_toxicity,
+        op10_packing, op11_source_divergence, op13_fill_in_middle)}
 
 ORACLES = {
     "op6_exact_dedup": r"""
@@ -98,4 +113,52 @@ ORACLES = {
         SELECT query_id, rank, vec_id, score FROM (
             SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER
                    AS rank FROM s) WHERE rank <= 20""",
+    "op11_source_divergence": r"""
+        WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms,
+                   row_number() OVER () AS row FROM documents),
+        g AS (SELECT DISTINCT lang, source FROM t),
+        w AS (SELECT lang, source, row, unnest(terms) AS term FROM t),
+        kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term
+                 HAVING count(DISTINCT row) >= 10),
+        lang_total AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+        uses AS (SELECT g.lang, g.source, k.term, k.n AS lang_n, coalesce(c.n, 0) AS n
+                 FROM g JOIN kept k USING (lang) LEFT JOIN (
+                     SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL) c
+                 USING (lang, source, term)),
+        totals AS (SELECT lang, source, sum(n) AS total FROM uses GROUP BY ALL),
+        p AS (SELECT u.lang, u.source, u.term, u.n,
+              (1 + (1000000000::HUGEINT * (u.n + 2)) // (s.total + 2 * l.v)::HUGEINT) AS p,
+              (1 + (1000000000::HUGEINT * (u.lang_n + 2)) // (l.total + 2 * l.v)::HUGEINT) AS q
+              FROM uses u JOIN totals s USING (lang, source) JOIN lang_total l USING (lang)),
+        pair_sum AS (SELECT a.lang, a.source, b.source AS item,
+                     sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+                     FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+                     GROUP BY ALL),
+        pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+                 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                 LEFT JOIN pair_sum s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+        term AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value
+                 FROM p WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+            FROM (SELECT 'pair' AS part, * FROM pair UNION ALL SELECT 'term' AS part, * FROM term))
+        WHERE part = 'pair' OR rank <= 10""",
+    "op13_fill_in_middle": r"""
+        WITH u AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h,
+                   regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w FROM documents),
+        d AS (SELECT doc_id, t, w, len(w) AS n, ('0x' || h[1:8])::BIGINT % (len(w) + 1) AS x,
+              ('0x' || h[9:16])::BIGINT % (len(w) + 1) AS y,
+              CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                     OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+                   WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        c AS (SELECT *, array_to_string(w[1:least(x, y)], '') AS pre,
+              array_to_string(w[least(x, y) + 1:greatest(x, y)], '') AS mid,
+              array_to_string(w[greatest(x, y) + 1:], '') AS suf FROM d)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', pre, '<S>', suf, '<M>', mid)
+                      ELSE concat('<S>', suf, '<P>', pre, '<M>', mid) END) AS output_sha256,
+               sha256(t) AS restored_sha256 FROM c""",
 }

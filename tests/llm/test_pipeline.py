@@ -105,4 +105,4 @@ def test_run_is_registered(spark):
     import __spark_entry__ as entry
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert {n for n in QUERIES} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
-    assert sorted(n.split("_")[0] for n in QUERIES) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(n.split("_")[0] for n in QUERIES) == sorted(f"op{n}" for n in range(1, 14))
