@@ -12,6 +12,7 @@ from gradeloom.llm.divergence import source_divergence
 from gradeloom.llm.exact_dedup import exact_duplicates
 from gradeloom.llm.fill_middle import fill_in_middle, restored
 from gradeloom.llm.html_extract import extract_text
+from gradeloom.llm.jaccard_join import similar_documents
 from gradeloom.llm.license_scan import license_notices
 from gradeloom.llm.mixing import soft_mix
 from gradeloom.llm.packing import pack
@@ -84,6 +85,10 @@ def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return source_divergence(documents(spark, folder))
 
 
+def op12_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_documents(documents(spark, folder))
+
+
 def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     made = fill_in_middle(documents(spark, folder))
     return made.select(
@@ -96,7 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_html_extraction, op2_license_scan, op3_suffix_dedup, op4_mixing,
         op5_simhash_near_dedup, op6_exact_dedup, op7_topk_search, op8_token_counts, op9_toxicity,
-        op10_packing, op11_source_divergence, op13_fill_in_middle)}
+        op10_packing, op11_source_divergence, op12_jaccard_join, op13_fill_in_middle)}
 
 ORACLES = {
     "op6_exact_dedup": r"""
@@ -145,6 +150,22 @@ ORACLES = {
             SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
             FROM (SELECT 'pair' AS part, * FROM pair UNION ALL SELECT 'term' AS part, * FROM term))
         WHERE part = 'pair' OR rank <= 10""",
+    "op12_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        s AS (SELECT doc_id, row, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4
+                   THEN [array_to_string(words, ' ')] ELSE list_distinct(list_transform(
+                       range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS grams
+              FROM w),
+        e AS (SELECT row, len(grams) AS size, unnest(grams) AS gram FROM s),
+        links AS (SELECT a.row AS x, b.row AS y FROM e a JOIN e b ON a.gram = b.gram AND a.row <> b.row
+                  GROUP BY a.row, b.row, a.size, b.size
+                  HAVING 100 * count(*) >= 85 * (a.size + b.size - count(*))),
+        reach AS (SELECT row AS x, row AS y FROM s
+                  UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+        SELECT s.doc_id, len(s.grams) AS n_shingles, min(t.doc_id) AS component_id
+        FROM reach r JOIN s ON s.row = r.x JOIN s t ON t.row = r.y GROUP BY s.row, s.doc_id, s.grams""",
     "op13_fill_in_middle": r"""
         WITH u AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h,
                    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w FROM documents),
