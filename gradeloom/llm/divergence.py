@@ -67,21 +67,29 @@ def _gid(seed: int) -> Column:
 
 
 def term_rows(rows: DataFrame, seed: int, bits: int = DIGEST_BITS) -> DataFrame:
-    """lid, gid, digest, term, n, docs: counts of a task's documents."""
+    """lid, gid, digest, term, n, docs, named: counts of a task's documents.
+
+    ``named`` is true once for each term that the task writes out together, so that a reader of
+    texts meets each of them once and not for every group.
+    """
     mask = (1 << bits) - 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple[int, int], tuple[Counter, Counter]] = {}
 
         def flush() -> Iterator[pd.DataFrame]:
+            known: dict[bytes, int] = {}
             for (lid, gid), (uses, docs) in held.items():
                 uses.pop(b"", None)
                 if uses:
                     keys = list(uses)
-                    digest = np.fromiter((xxhash.xxh64_intdigest(k) & mask for k in keys),
-                                         np.uint64, len(keys)).view(np.int64)
-                    yield pd.DataFrame({"lid": lid, "gid": gid, "digest": digest, "term": keys,
-                                        "n": list(uses.values()), "docs": [docs[k] for k in keys]})
+                    new = [k not in known for k in keys]
+                    known.update((k, xxhash.xxh64_intdigest(k) & mask)
+                                 for k, is_new in zip(keys, new) if is_new)
+                    digest = np.fromiter(map(known.__getitem__, keys), np.uint64, len(keys))
+                    yield pd.DataFrame({"lid": lid, "gid": gid, "digest": digest.view(np.int64),
+                                        "term": keys, "n": list(uses.values()),
+                                        "docs": list(map(docs.__getitem__, keys)), "named": new})
             held.clear()
 
         size = 0
@@ -102,7 +110,8 @@ def term_rows(rows: DataFrame, seed: int, bits: int = DIGEST_BITS) -> DataFrame:
 
     return rows.select(_lid(seed).alias("lid"), _gid(seed).alias("gid"),
                        F.col("text").cast("binary").alias("raw")).mapInPandas(
-        run, "lid bigint, gid bigint, digest bigint, term binary, n bigint, docs bigint")
+        run, "lid bigint, gid bigint, digest bigint, term binary, n bigint, docs bigint, "
+             "named boolean")
 
 
 def _kept(counts: DataFrame, min_docs: int) -> DataFrame:
@@ -116,7 +125,7 @@ def kept_terms(found: DataFrame, min_docs: int, scratch: Scratch) -> tuple[DataF
     counts = scratch.write(found.groupBy("lid", "gid", "digest").agg(
         F.sum("n").alias("n"), F.sum("docs").alias("docs")).withColumn("sub", F.lit(0)), "counts")
     kept = scratch.write(_kept(counts, min_docs), "candidates")
-    texts = scratch.write(found.select("digest", "term").join(
+    texts = scratch.write(found.where("named").select("digest", "term").join(
         kept.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(
         F.min("term").alias("low"), F.max("term").alias("high")), "texts")
     names = texts.where("low = high").select("digest", F.lit(0).alias("sub"), F.col("low").alias("item"))
@@ -124,7 +133,7 @@ def kept_terms(found: DataFrame, min_docs: int, scratch: Scratch) -> tuple[DataF
     if not shared.isEmpty():
         mixed = found.join(shared, "digest", "left_semi")
         # Terms of one digest are few, so their numbers come from a window by digest.
-        own = scratch.write(mixed.select("digest", "term").distinct().withColumn(
+        own = scratch.write(mixed.where("named").select("digest", "term").distinct().withColumn(
             "sub", F.row_number().over(Window.partitionBy("digest").orderBy("term"))), "split")
         again = mixed.join(own, ["digest", "term"]).groupBy("lid", "gid", "digest", "sub").agg(
             F.sum("n").alias("n"), F.sum("docs").alias("docs"))
