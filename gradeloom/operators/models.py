@@ -52,7 +52,7 @@ def prompt_sizes(train: DataFrame, prompt: str) -> Iterator[Row]:
 
 def fit_prompts(train: DataFrame, prompt: str = "prompt_name", label: str = "score",
                 vector: str = "vector", penalty_c: float | None = None,
-                max_iter: int = MAX_ITER,
+                max_iter: int = MAX_ITER, tol: float = 1e-4,
                 sizes: Iterable[Row] | None = None) -> dict[object, LogisticRegressionModel]:
     """A model per prompt from rows with ``weight``; fits run side by side, each distributed.
 
@@ -62,7 +62,7 @@ def fit_prompts(train: DataFrame, prompt: str = "prompt_name", label: str = "sco
     def fit(row):
         estimator = LogisticRegression(
             family="multinomial", featuresCol=vector, labelCol=label, weightCol="weight",
-            predictionCol="prediction", maxIter=max_iter, tol=1e-4,
+            predictionCol="prediction", maxIter=max_iter, tol=tol,
             standardization=penalty_c is None,
             regParam=0.0 if penalty_c is None else 1.0 / (penalty_c * row["total"]))
         mine = F.col(PART) == str(row[prompt]) if PART in train.columns else (
@@ -117,10 +117,8 @@ def predict(models: dict[object, LogisticRegressionModel], rows: DataFrame, keep
     return score_rows(classes, rows, keep, prompt, probabilities)
 
 
-def fit_and_predict(train: DataFrame, rows: DataFrame, keep: Sequence[str],
-                    prompt: str = "prompt_name", probabilities: bool = False,
-                    **options) -> DataFrame:
-    """Predictions of every prompt's model for its ``rows``; null where a prompt has no model.
+def fit_coefficients(train: DataFrame, prompt: str = "prompt_name", **options) -> DataFrame:
+    """Coefficients of every prompt's model: the prompt and ``classes``, as a staged table.
 
     Prompts are fitted in batches, whose coefficients are written, so neither the driver nor a plan
     holds all models.
@@ -135,5 +133,12 @@ def fit_and_predict(train: DataFrame, rows: DataFrame, keep: Sequence[str],
         schema = part.schema
     if schema is None:
         raise ValueError("no training rows")
-    classes = spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def fit_and_predict(train: DataFrame, rows: DataFrame, keep: Sequence[str],
+                    prompt: str = "prompt_name", probabilities: bool = False,
+                    **options) -> DataFrame:
+    """Predictions of every prompt's model for its ``rows``; null where a prompt has no model."""
+    classes = fit_coefficients(train, prompt, **options)
     return score_rows(classes, rows, keep, prompt, probabilities)
