@@ -9,6 +9,7 @@ from gradeloom.catalog.registry import query
 from gradeloom.catalog.similarity import document_tokens, tagged_tokens
 from gradeloom.operators import grading as gr, lexicon as lx, similarity as sm
 from gradeloom.operators.models import assemble, fit_and_predict, weighted_train
+from gradeloom.operators.neighbour_index import hashed_nearest, recall, tree_nearest
 from gradeloom.operators.neighbours import nearest, vote
 from gradeloom.operators.split import stratified_split
 from gradeloom.plans import runs
@@ -121,6 +122,44 @@ def neighbour_grades(spark, folder):
         split.select("essay_id", "score"), "essay_id")
 
 
+@query("neighbour_recall", "M5 J5", NEAREST + """
+SELECT count(*) AS neighbours, TRUE AS nine_in_ten FROM best""")
+def neighbour_recall(spark, folder):
+    """The hashed index beside the exact search: at least nine in ten neighbours are found."""
+    queries, train = embedding_points(spark, folder)
+    exact, found = stage(nearest(queries, train), "exact"), hashed_nearest(queries, train)
+    return recall(exact, found).select("neighbours", (F.col("recall") >= 0.9).alias("nine_in_ten"))
+
+
+LINE_COLUMNS = {"l_quantity": 50, "l_extendedprice": 100000, "l_discount": 0.1, "l_tax": 0.1}
+
+
+def order_points(spark, folder):
+    """Orders as points of their largest line items, by return flag; every 25th order is a query."""
+    orders = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
+        F.min("l_returnflag").alias("part"), F.array(*(
+            F.max(c) / F.lit(float(unit)) for c, unit in LINE_COLUMNS.items())).alias("features"))
+    orders = stage(orders, "orders")
+    return orders.where("id % 25 = 0"), orders.where("id % 25 != 0")
+
+
+@query("tree_neighbours", "J5 K4 M5", f"""
+WITH p AS (
+  SELECT l_orderkey AS id, min(l_returnflag) AS part,
+    {", ".join(f"max({c}) / {float(unit)}::DOUBLE AS {c}" for c, unit in LINE_COLUMNS.items())}
+  FROM lineitem GROUP BY l_orderkey),
+pairs AS (
+  SELECT q.id AS query, t.id AS neighbour,
+    {" + ".join(f"(q.{c} - t.{c}) * (q.{c} - t.{c})" for c in LINE_COLUMNS)} AS d2
+  FROM p q JOIN p t ON q.part = t.part AND q.id % 25 = 0 AND t.id % 25 <> 0)
+SELECT query, neighbour, rank, round(d2, 9) AS d2 FROM (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY d2, neighbour) AS rank FROM pairs)
+WHERE rank <= 6""")
+def tree_neighbours(spark, folder):
+    found = tree_nearest(*order_points(spark, folder))
+    return found.select("query", "neighbour", "rank", F.round("d2", 9).alias("d2"))
+
+
 def embedding_rows(spark, folder):
     vectors = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("essay_id"), F.lit("all").alias("prompt_name"),

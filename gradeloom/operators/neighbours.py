@@ -61,16 +61,20 @@ def _route(pivots: np.ndarray, k: int):
                 continue
             far = np.sqrt(_squared(_matrix(batch["features"]), pivots))
             picked, rows = [], []
-            for i, (cells, sizes, radii) in enumerate(
-                    zip(batch["cells"], batch["sizes"], batch["radii"])):
-                to_pivot = far[i, np.asarray(cells)]
-                reach = to_pivot + np.asarray(radii)
-                order = np.argsort(reach)
-                enough = np.searchsorted(np.cumsum(np.asarray(sizes)[order]), k)
-                bound = reach[order[enough]] if enough < len(order) else np.inf
-                near = to_pivot - np.asarray(radii) <= bound * (1 + SLACK) + SLACK
-                picked.append(np.asarray(cells)[near])
-                rows.append(np.full(near.sum(), i))
+            # Rows of one group share their cells.
+            for at in batch.groupby("part").indices.values():
+                cells, sizes, radii = (np.asarray(batch[c].iloc[at[0]]) for c in (
+                    "cells", "sizes", "radii"))
+                to_pivot = far[np.ix_(at, cells)]
+                reach = to_pivot + radii
+                order = np.argsort(reach, axis=1)
+                enough = (np.cumsum(sizes[order], axis=1) < k).sum(axis=1)
+                last = np.minimum(enough, len(cells) - 1)
+                bound = np.where(enough < len(cells), np.take_along_axis(
+                    reach, order, axis=1)[np.arange(len(at)), last], np.inf)
+                one, two = np.nonzero(to_pivot - radii <= (bound * (1 + SLACK) + SLACK)[:, None])
+                picked.append(cells[two])
+                rows.append(at[one])
             out = batch[["part", "query", "features"]].iloc[np.concatenate(rows)]
             yield out.assign(cell=np.concatenate(picked))
     return run
