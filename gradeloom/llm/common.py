@@ -28,6 +28,9 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables that one operator call writes under the shared folder.
 
@@ -41,9 +44,18 @@ class Scratch:
         self.base = f"{shared_root(spark)}/llm/{app}/{label}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
+        """``df`` as a table. With ``free`` Spark deletes the job's shuffle files when it is over,
+        so ``df`` itself is computed anew if it is read again."""
         path = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(FREE_SHUFFLES, "false")
+        if free:
+            self.spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if free:
+                self.spark.conf.set(FREE_SHUFFLES, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self._alive = getattr(self, "_alive", []) + [out]

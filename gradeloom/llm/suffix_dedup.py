@@ -14,9 +14,9 @@ record with the bytes that it spans.
 2. Map tasks read whole texts, find the records and pack them by range. Of equal records within a
    window of texts only those of the smallest id travel; for the others the answer is known. So a
    passage that a third of all documents hold is sent once per window of texts.
-3. A range sorts its suffixes by successive 8-byte words. Suffixes whose leading bytes no other
-   document has drop out. The strings of the rest are grouped, with equality decided on all
-   bytes, and each one whose group holds a smaller id is marked.
+3. A range sorts its suffixes by their leading bytes. Suffixes whose leading bytes no other
+   document has drop out. The strings of the rest are grouped by a hash, with equality decided on
+   all bytes, and each one whose group holds a smaller id is marked.
 4. Marked runs meet the texts again by document and are cut out.
 """
 
@@ -31,14 +31,14 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.llm.common import Scratch, hidden_id, release_shuffles, shown_id
+from gradeloom.llm.common import Scratch, hidden_id, shown_id
 
 WIDTH = 50
 LEAD = 16
 WINDOW = 2 << 20
 RANGE_BYTES = 6 << 20
-MAX_RANGES = 4096
 SAMPLED_DOCS = 2048
+SAMPLED_PER_RANGE = 8
 SAMPLED_ANCHORS = 64
 CHUNK = 1 << 20
 LEVEL = 3
@@ -400,8 +400,10 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def _splitters(rows: DataFrame, width: int, range_bytes: int) -> Ranges:
     total, count = rows.agg(F.sum(F.octet_length("raw")), F.count(F.lit(1))).first()
-    ranges = min(MAX_RANGES, -(-(total or 0) // range_bytes))
-    every = max(1, (count or 0) // SAMPLED_DOCS)
+    ranges = -(-(total or 0) // range_bytes)
+    # Some anchors for every range, so the sample grows with the input as the ranges do.
+    wanted = max(SAMPLED_DOCS, ranges * SAMPLED_PER_RANGE // SAMPLED_ANCHORS)
+    every = max(1, (count or 0) // wanted)
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -414,11 +416,11 @@ def _splitters(rows: DataFrame, width: int, range_bytes: int) -> Ranges:
                         yield pd.DataFrame({"one": found.lead[0][pick].view(np.int64),
                                             "two": found.lead[1][pick].view(np.int64)})
 
-    # About SAMPLED_DOCS texts, SAMPLED_ANCHORS anchors from each: bounded whatever the input is.
-    # The sample only places the boundaries; it decides no result.
+    # SAMPLED_ANCHORS anchors from each text. The sample only places the boundaries; it decides no
+    # result. A range costs 16 bytes a sampled anchor here and one splitter in every task.
     part = rows.where(F.pmod(F.xxhash64("doc_id", "copy"), F.lit(every)) == 0).select("raw")
     got = part.mapInPandas(sample, "one bigint, two bigint").limit(
-        2 * SAMPLED_DOCS * SAMPLED_ANCHORS).toPandas()
+        2 * wanted * SAMPLED_ANCHORS).toPandas()
     return Ranges(list(zip((x & (2**64 - 1) for x in got["one"].tolist()),
                            (x & (2**64 - 1) for x in got["two"].tolist()))), ranges)
 
@@ -505,10 +507,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH,
     lists = Scratch(docs.sparkSession, "runs").write(lists.select(
         F.col("doc_id").alias("run_id"), F.col("copy").alias("run_copy"),
         F.expr("transform(runs, r -> r.start)").alias("starts"),
-        F.expr("transform(runs, r -> r.end)").alias("ends")), "lists")
-
-    # The texts are shuffled next: first let go of the records' shuffle, which is done with.
-    release_shuffles(docs.sparkSession)
+        F.expr("transform(runs, r -> r.end)").alias("ends")), "lists", free=True)
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -91,3 +91,16 @@ def test_windows_ranges_and_chunks_do_not_matter():
         got = [(d, len(t), *sd._cut(t, np.array(of.get(d, []), np.int64).reshape(-1, 2)))
                for d, t in docs]
         assert sorted(got, key=repr) == brute(docs, width)
+
+
+def test_many_thousand_ranges(spark):
+    rng = np.random.default_rng(2)
+    passage = bytes(rng.integers(97, 123, 300, dtype=np.uint8)).decode()
+    texts = [bytes(rng.integers(97, 123, 4000, dtype=np.uint8)).decode() for _ in range(30)]
+    texts = [t if i % 3 else t + passage for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    # A range of 20 bytes each: some 6,000 splitters.
+    rows = sd._numbered(docs)
+    assert sd._splitters(rows, 50, 20).count > 4096
+    got = {r.doc_id: r.n_removed for r in sd.remove_repeats(docs, range_bytes=20).collect()}
+    assert got == {i: 300 if i % 3 == 0 and i else 0 for i in range(30)}
