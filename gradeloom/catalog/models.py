@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gradeloom.catalog import sql
 from gradeloom.catalog.registry import query
 from gradeloom.catalog.similarity import document_tokens, tagged_tokens
+from gradeloom.functions.constants import EXPERIMENT_SEED, SPLIT_SEED
 from gradeloom.operators import grading as gr, lexicon as lx, similarity as sm
 from gradeloom.operators.models import assemble, fit_and_predict, weighted_train
 from gradeloom.operators.neighbour_index import hashed_nearest, recall, tree_nearest
@@ -233,3 +234,46 @@ def bell_curve_distribution(spark, folder):
         ["prompt_name"], predicted="grade")
 
 
+# What the runs report without their regression: fills, codes, strata, bell curve and tables.
+CODED = """
+coded AS (
+  SELECT essay_id, CAST(dense_rank() OVER (ORDER BY prompt_name) - 1 AS VARCHAR) AS prompt, prompt_name
+  FROM filled)"""
+
+
+def actuals_sql(model: str, seed: int) -> str:
+    """Test rows by score, as the run of ``model`` reports them."""
+    return sql.with_(sql.FILLED, CODED, sql.split("filled", seed)) + f"""
+SELECT c.prompt, '{model}' AS model, concat('actual_', s.score) AS metric, count(*)::DOUBLE AS value
+FROM split s JOIN coded c USING (essay_id) WHERE s.is_test GROUP BY ALL"""
+
+
+@query("baseline_run_actuals", "M7 E6", actuals_sql("base_logistic", SPLIT_SEED))
+def baseline_run_actuals(spark, folder):
+    return runs.baseline_run(essay_view(spark, folder)).where("metric LIKE 'actual%'")
+
+
+@query("experiment_run_actuals", "M8 E6", actuals_sql("experiment_logistic", EXPERIMENT_SEED))
+def experiment_run_actuals(spark, folder):
+    return experiment_run(spark, folder).where("metric LIKE 'actual%'")
+
+
+@query("main_run_bell", "M9 M6 E6", sql.with_(
+    sql.FILLED, CODED, sql.tokens("filled", "essay_id", "full_text", "prompt_name", "row_id"),
+    sql.grams(), sql.top(), sql.matched()) + f"""
+, sims AS (SELECT doc_key AS essay_id, CASE WHEN list_size = 0 THEN 0 ELSE hits::DOUBLE / list_size END AS s
+           FROM matched)
+, stats AS (SELECT prompt_name, avg(s) AS mean FROM sims JOIN coded USING (essay_id) GROUP BY ALL)
+, graded AS (
+  SELECT c.prompt, f.score, {sql_grade('(s - mean) / mean')} AS grade
+  FROM sims JOIN coded c USING (essay_id) JOIN stats USING (prompt_name) JOIN filled f USING (essay_id))
+SELECT prompt, 'main_bell' AS model, metric, round(value, 6) AS value FROM (
+  SELECT prompt, concat('predicted_', grade) AS metric, count(*)::DOUBLE AS value FROM graded GROUP BY ALL
+  UNION ALL
+  SELECT prompt, concat('actual_', score), count(*)::DOUBLE FROM graded GROUP BY ALL
+  UNION ALL
+  SELECT prompt, 'accuracy', avg(CASE WHEN score = grade THEN 1.0 ELSE 0.0 END) FROM graded GROUP BY ALL)""")
+def main_run_bell(spark, folder):
+    found = runs.main_run(essay_view(spark, folder), runs.Settings(models=("bell",)))
+    return found.where("model = 'main_bell' AND metric NOT IN ('precision', 'recall', 'f1_score')").select(
+        "prompt", "model", "metric", F.round("value", 6).alias("value"))
