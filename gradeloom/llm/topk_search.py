@@ -26,6 +26,8 @@ BLOCK_ROWS = 4096
 QUERY_ROWS = 256
 GROUP = 16
 SAFE = 2.0 ** 52
+# Largest score; larger ones count as this, so that every score and its negative fit 64 bits.
+MOST = 2 ** 63 - 1
 
 
 def usable(vector: Column) -> Column:
@@ -87,6 +89,7 @@ class Best:
         if top * top * dims >= SAFE:
             # Doubles would round: whole numbers of any size, without bounds.
             wide = query.astype(object) @ cols.astype(object)
+            wide = np.minimum(np.maximum(wide, -MOST), MOST)
             for i in range(len(query)):
                 other = rows != self.rows[i]
                 self.add(i, wide[i][other].astype(np.int64), ids[other])
@@ -130,7 +133,8 @@ def top_k(vectors: DataFrame, is_query: str, k: int = K, block_rows: int = BLOCK
     rows but the query's own. Ties go to the smaller vec_id. Rows with a null vec_id or null values
     take no part. Rows that repeat an id are vectors of their own: each is a candidate of the
     others and, if it is a query, gets its own ranks. Fewer than k candidates give all of them.
-    An empty table, or no query, gives no row.
+    An empty table, or no query, gives no row. Scores beyond 64 bits are the largest, or smallest,
+    64-bit score and rank as such.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")

@@ -17,7 +17,8 @@ BYTES = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PARTS = st.sampled_from(["'", "s", "re", "'ll", "T'S", " ", "  ", "\n", "\t", "é", "É", "1", "²",
                          "a", "B", "!", ".", " ", "　", "\x1c", "\x85", "漢", "́",
-                         "​", "İ", "Σ", "<|endoftext|>", "<|startoftext|>", "_", "\0"])
+                         "​", "İ", "Σ", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>",
+                         "<|STARTOFTEXT|>", "_", "\0"])
 TEXTS = [None, "", " ", "hello world", "It's  late.\n\nWe'll go", "<|endoftext|> x", "a" * 5000,
          "word, " * 9000, "É.é! É?", "1 22  333", "tail \n"]
 
@@ -48,6 +49,14 @@ def test_word_ids_as_the_library(words, text):
     assert got == library.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_keep_their_case(words):
+    ours, library = words
+    for text in ["<|ENDOFTEXT|>", "Foo<|EndOfText|>bar", "Foo <|endoftext|> BAR", "A<|b C|>",
+                 "<|startoftext|>X <|StartOfText|>x", "É<|ENDOFTEXT|>É", "x<|endoftext|>, Y."]:
+        got = np.frombuffer(ours.ids(text), "<u4").tolist()
+        assert got == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_texts_are_cut_into_windows_without_effect(counter, monkeypatch):
     machine, library = counter
     monkeypatch.setattr(tc, "WINDOW", 50)

@@ -42,3 +42,14 @@ def test_unusable_vectors(spark):
     rows = [(1, [1.0]), (2, None), (3, [None]), (4, [nan]), (5, [inf]), (6, [-inf]), (7, [])]
     df = spark.createDataFrame(rows, "vec_id bigint, v array<float>")
     assert rows_of(df.where(usable(F.col("v"))), "vec_id") == [(1,), (7,)]
+
+
+def test_scores_beyond_64_bits_are_the_limits(spark):
+    rows = [(0, [2**62, 2**62]), (1, [2**62, 2**62]), (2, [-2**62, -2**62]), (3, [1, 1]),
+            (4, [2**40, 0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, values array<bigint>")
+    got = top_k(df, "vec_id = 0", k=3)
+    most = 2**63 - 1
+    assert rows_of(got, "query_id", "rank", "vec_id", "score") == [
+        (0, 1, 1, most), (0, 2, 3, most), (0, 3, 4, most)]
+    assert rows_of(top_k(df, "vec_id = 2", k=1), "vec_id", "score") == [(0, -most)]
