@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from gradeloom.catalog import sql
 from gradeloom.catalog.registry import query
-from gradeloom.operators import lexicon as lx, ngrams as ng, similarity as sm
+from gradeloom.operators import (
+    frequent_grams as fg, lexicon as lx, ngrams as ng, similarity as sm)
 from gradeloom.plans.runs import tfidf
 from gradeloom.sources.staging import stage
-from gradeloom.sources.tables import table
+from gradeloom.sources.tables import spread, table
 
 GRAMS = sql.with_(sql.tokens(), sql.grams())
 TOP = sql.with_(sql.tokens(), sql.grams(), sql.top())
@@ -52,6 +53,14 @@ def top_grams(spark, folder):
     return ng.top_grams(counts).select("group_key", "gram", "occurrences", "rank")
 
 
+@query("frequent_grams", "K3 A4", TOP + """
+SELECT group_key, gram, occurrences, rank FROM top""")
+def frequent_grams(spark, folder):
+    docs = spread(table(spark, folder, "documents"), "doc_id")
+    found = fg.frequent_grams(fg.gram_uses(docs, "lang", "doc_id", "text"))
+    return found.select("group_key", "gram", "occurrences", "rank")
+
+
 @query("gram_matches", "J1", SCORES + """
 SELECT doc_key, hits, overlap, own_grams, list_size FROM matched""")
 def gram_matches(spark, folder):
@@ -148,10 +157,7 @@ LEFT JOIN sums USING (doc_key) LEFT JOIN norms n ON n.group_key = t.group_key"""
 def prompt_tfidf(spark, folder):
     lang = F.element_at(F.array(*map(F.lit, ("de", "en", "es", "fr"))),
                         (F.col("item_id") % 4 + 1).cast("int"))
-    # The passages are the fixed texts of four prompts.
-    texts = table(spark, folder, "benchmark").groupBy(lang.alias("lang")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))),
-                                 lambda x: x["text"]), " ").alias("text"))
-    prompts = ng.token_table(stage(texts, "prompts"), "lang", "text", "lang", "lang")
+    passages = table(spark, folder, "benchmark").withColumn("lang", lang)
+    prompts = ng.token_table(passages, "item_id", "text", "lang", "item_id")
     scores = sm.prompt_tfidf(stage(document_tokens(spark, folder), "tokens"), prompts)
     return scores.select("doc_key", F.round("tfidf", 6).alias("tfidf"))

@@ -70,7 +70,8 @@ def _term_counts(tokens: DataFrame, *keys: str) -> DataFrame:
 def prompt_tfidf(tokens: DataFrame, prompts: DataFrame) -> DataFrame:
     """``doc_key, tfidf``: cosine between a document and its own prompt's text, by tf-idf.
 
-    ``prompts`` is a token table with one row per group. Inverse frequencies, ln((1 + n) / (1 + df))
+    ``prompts`` is a token table with any number of rows per group: a prompt's text is all of them,
+    counted by term and never joined to one text. Inverse frequencies, ln((1 + n) / (1 + df))
     + 1, come from the documents. A document meets the tokens of its own prompt by (group, token),
     never other prompts. Documents without tokens or without a prompt text score 0.
     """

@@ -200,6 +200,14 @@ def grade_models(frame: DataFrame, columns: Sequence[str], settings: Settings,
     return reduce(DataFrame.unionByName, results)
 
 
+def with_features(encoded: DataFrame, given: DataFrame) -> DataFrame:
+    """``encoded`` with the columns of ``given`` by essay_id; an essay without a row fails the job."""
+    given = given.withColumn("_given", F.lit(True))
+    checked = F.when(F.col("_given"), F.col("essay_id")).otherwise(F.raise_error(F.concat(
+        F.lit("no features for essay "), F.coalesce(F.col("essay_id").cast("string"), F.lit("null")))))
+    return encoded.join(given, "essay_id", "left").withColumn("essay_id", checked).drop("_given")
+
+
 def baseline_run(essays: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Logistic regression on the columns that need no text."""
     encoded = encoded_essays(filled_essays(essays, settings.sort_keys))
@@ -210,8 +218,8 @@ def main_run(essays: DataFrame, settings: Settings = Settings(),
              features: DataFrame | None = None) -> DataFrame:
     """Baseline, then the chosen models with text features and similarity score.
 
-    ``features`` is a ready table of essay_id, the ten features and similarity_score; without it
-    they are computed.
+    ``features`` is a ready table of essay_id, the ten features and similarity_score, with a row for
+    every essay; without it they are computed.
     """
     filled = filled_essays(essays, settings.sort_keys)
     encoded = stage(encoded_essays(filled), "encoded")
@@ -220,7 +228,7 @@ def main_run(essays: DataFrame, settings: Settings = Settings(),
     if features is None:
         features = feature_table(filled, settings)
     given = features.select("essay_id", *FEATURES, "similarity_score")
-    full = stage(encoded.join(given, "essay_id"), "full")
+    full = stage(with_features(encoded, given), "full")
     return base.unionByName(
         grade_models(full, MAIN_COLUMNS, settings, "main", "similarity_score"))
 
@@ -230,12 +238,13 @@ def experiment_run(essays: DataFrame, lexicon: DataFrame, settings: Settings = E
                    features: DataFrame | None = None) -> DataFrame:
     """Word count, text features and the five similarity columns, penalised regression.
 
-    ``features`` is a ready table of essay_id and the ten features; without it they are computed.
+    ``features`` is a ready table of essay_id and the ten features, with a row for every essay;
+    without it they are computed.
     """
     filled = filled_essays(essays, settings.sort_keys)
     if features is None:
         features = add_features(filled.select("essay_id", "full_text")).drop("full_text")
     given = features.select("essay_id", *FEATURES)
-    frame = encoded_essays(filled).join(given, "essay_id").join(
+    frame = with_features(encoded_essays(filled), given).join(
         similarity_table(filled, lexicon, settings), "essay_id")
     return grade_models(stage(frame, "full"), columns, settings, "experiment", "similarity")

@@ -42,8 +42,10 @@ def _typed(name: str, kind: T.DataType):
     cell = F.when(~F.trim(F.col(name)).isin(*MISSING), F.col(name))
     if isinstance(kind, T.LongType):
         # Tools that know no missing integers write 3 as 3.0.
-        whole = cell.try_cast("bigint")
-        return F.coalesce(whole, cell.cast("double").cast("bigint")).alias(name)
+        number = cell.cast("double")
+        whole = cell.cast("decimal(38, 0)").cast("bigint")
+        return F.when(number == F.floor(number), whole).when(cell.isNotNull(), F.raise_error(
+            F.concat(F.lit(f"no whole number in column {name}: "), cell))).alias(name)
     return cell.cast(kind).alias(name)
 
 
@@ -52,7 +54,8 @@ def read_essays_csv(spark: SparkSession, path: str, schema: T.StructType = ESSAY
 
     Columns may stand in any order, further ones are left out, and a missing one is an error,
     except ``row_id``, which is then the position in file order (files by name). Empty cells and
-    ``NA``, ``NaN``, ``nan`` are null; a number that is none fails the job. ``essay_id`` stays
+    ``NA``, ``NaN``, ``nan`` are null; a number that is none fails the job, as does one with decimals
+    in a column of whole numbers (3.0 counts as whole). ``essay_id`` stays
     text if any id is no whole number. Quoted line breaks make a single CSV file unsplittable:
     ship many files, or convert to parquet once.
     """

@@ -69,3 +69,12 @@ def test_run_options(spark, folder):
                              sort_keys=("grade_level", "prompt_name"), **QUICK)
     rows = runs.main_run(essay_view(spark, folder), settings).collect()
     assert any(r.metric.startswith("support_") for r in rows if r.model == "main_neighbours")
+
+
+def test_essays_without_features_fail_the_run(spark):
+    essays = spark.createDataFrame([(1, 3), (2, 4)], "essay_id bigint, score bigint")
+    given = spark.createDataFrame([(1, .5)], "essay_id bigint, similarity_score double")
+    assert [tuple(r) for r in runs.with_features(essays.where("essay_id = 1"), given).collect()] == [
+        (1, 3, .5)]
+    with pytest.raises(Exception, match="no features for essay 2"):
+        runs.with_features(essays, given).collect()

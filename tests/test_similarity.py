@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions.text import content_tokens
 from gradeloom.operators import ngrams as ng, similarity as sm
+from gradeloom.operators.frequent_grams import frequent_grams, gram_uses
 from gradeloom.operators.lexicon import build_lexicon, keep_content_words
 from gradeloom.sources.staging import stage
 from gradeloom.sources.tables import table
@@ -90,6 +91,33 @@ def test_content_words(spark):
         0: ["run", "run", "fast", "odd"], 1: []}
 
 
+def exact_list(uses, n):
+    counts = uses.groupBy("group_key", "gram").agg(
+        F.count("*").alias("occurrences"), F.min(F.struct("row_key", "pos")).alias("first")).select(
+        "group_key", "gram", "occurrences", F.col("first.row_key").alias("first_row"),
+        F.col("first.pos").alias("first_pos"))
+    return ng.top_grams(counts, n)
+
+
+@pytest.mark.parametrize("n, cells", [(1, 64), (20, 7), (200, 1 << 15), (100_000, 64)])
+def test_frequent_grams_are_those_of_exact_counts(spark, folder, n, cells):
+    uses = gram_uses(table(spark, folder, "documents").repartition(5), "lang", "doc_id", "text")
+    got = frequent_grams(uses, n, cells)
+    assert got.columns == exact_list(uses, n).columns
+    assert set(map(tuple, got.collect())) == set(map(tuple, exact_list(uses, n).collect()))
+
+
+def test_frequent_grams_of_ties_null_groups_and_nothing(spark):
+    rows = [(None, i, p, f"g{(i + p) % 30}") for i in range(60) for p in range(3)]
+    rows += [("a", i, 0, f"once{i}") for i in range(500)] + [("a", 7, 1, None), ("b", 1, 0, None)]
+    uses = spark.createDataFrame(rows, "group_key string, row_key bigint, pos int, gram string")
+    for n in (1, 5, 40):
+        want = exact_list(uses.where("gram IS NOT NULL"), n)
+        assert set(map(tuple, frequent_grams(uses, n, 16).collect())) == set(
+            map(tuple, want.collect()))
+    assert frequent_grams(uses.where("row_key < 0"), 5).collect() == []
+
+
 def test_small_list_is_broadcast_and_pruned_before_the_shuffle(spark, folder):
     docs = table(spark, folder, "documents")
     grams = stage(ng.doc_ngrams(ng.token_table(docs, "doc_id", "text", "lang", "doc_id")), "g")

@@ -7,6 +7,7 @@ from gradeloom.operators.ngrams import top_grams
 from gradeloom.operators.split import stratified_split
 from gradeloom.sources import staging
 from gradeloom.sources.essays import ESSAY_SCHEMA, read_essays_csv, read_features_csv
+from gradeloom.sources.results import append_results
 
 COLUMNS = [f.name for f in ESSAY_SCHEMA.fields if f.name != "row_id"]
 ROW = {"essay_id": "7", "score": "3", "full_text": "one, two", "essay_word_count": "2", "grade_level": "8"}
@@ -44,6 +45,43 @@ def test_bad_numbers_and_missing_columns_fail(spark, tmp_path):
         read_essays_csv(spark, csv(tmp_path, COLUMNS[:-1], ROW))
 
 
+def test_whole_numbers_have_no_decimals(spark, tmp_path):
+    path = csv(tmp_path, COLUMNS, {**ROW, "score": "3.0", "grade_level": "9007199254740993"})
+    got = read_essays_csv(spark, path).first()
+    assert (got.score, got.grade_level) == (3, 9007199254740993)
+    for n, bad in enumerate(["7.5", "0.1", "Infinity", "1e30"]):
+        where = tmp_path / str(n)
+        where.mkdir()
+        with pytest.raises(Exception):
+            read_essays_csv(spark, csv(where, COLUMNS, {**ROW, "score": bad})).collect()
+
+
+RESULT = "prompt string, model string, metric string, value double"
+
+
+def test_a_repeated_append_leaves_one_copy(spark, tmp_path):
+    path = str(tmp_path / "results")
+    first = spark.createDataFrame([("p", "m", "kappa", .12345)], RESULT)
+    other = spark.createDataFrame([("p", "m", "kappa", .5), ("q", "m", "kappa", None)], RESULT)
+    assert append_results(first, path, run_id="a") == "a"
+    named = append_results(other, path)
+    append_results(first, path, run_id="a")
+    got = sorted((r.run_id == "a", r.prompt, r.value) for r in spark.read.parquet(path).collect())
+    assert named != "a" and got == [(False, "p", .5), (False, "q", None), (True, "p", .1235)]
+    assert append_results(first.limit(0), path, run_id="b") == "b"
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_a_failed_append_leaves_the_table_as_it_was(spark, tmp_path):
+    path = str(tmp_path / "results")
+    rows = spark.createDataFrame([("p", "m", "kappa", 1.0)], RESULT)
+    append_results(rows, path, run_id="a")
+    broken = rows.withColumn("prompt", F.when(F.col("value") == 1, F.raise_error(F.lit("broken"))))
+    with pytest.raises(Exception, match="broken"):
+        append_results(broken, path, run_id="a")
+    assert [tuple(r)[:4] for r in spark.read.parquet(path).collect()] == [("p", "m", "kappa", 1.0)]
+
+
 def test_rows_are_numbered_in_file_order(spark, tmp_path):
     for n in (2, 0, 1):
         csv(tmp_path, COLUMNS, *({**ROW, "essay_id": 10 * n + i} for i in range(3 + 2 * n)),
