@@ -9,8 +9,9 @@ from gradeloom.catalog.registry import query
 from gradeloom.operators import (
     frequent_grams as fg, lexicon as lx, ngrams as ng, similarity as sm)
 from gradeloom.plans.runs import tfidf
-from gradeloom.sources.staging import stage
+from gradeloom.sources.staging import fresh_path, stage
 from gradeloom.sources.tables import spread, table
+from gradeloom.streaming.scoring import score_stream
 
 GRAMS = sql.with_(sql.tokens(), sql.grams())
 TOP = sql.with_(sql.tokens(), sql.grams(), sql.top())
@@ -86,6 +87,25 @@ def set_similarity(spark, folder):
         "doc_key", "dice", "jaccard", "coverage")
 
 
+@query("streamed_similarity", "T9 X1 X2", SCORES + """
+SELECT doc_key, group_key, hits, overlap, own_grams, list_size,
+  CASE WHEN list_size = 0 THEN 0.0 ELSE hits::DOUBLE / list_size END AS similarity,
+  2.0::DOUBLE * overlap / nullif(own_grams + list_size, 0) AS dice,
+  overlap::DOUBLE / nullif(own_grams + list_size - overlap, 0) AS jaccard,
+  CASE WHEN list_size = 0 THEN 0.0 ELSE overlap::DOUBLE / list_size END AS coverage
+FROM matched""")
+def streamed_similarity(spark, folder):
+    """The documents arrive as a stream of files; the lists come from the table as it is."""
+    docs = table(spark, folder, "documents")
+    counts = ng.gram_counts(ng.doc_ngrams(document_tokens(spark, folder)))
+    top = stage(ng.top_grams(counts), "top")
+    # As a pattern the path may be one file or a folder of them.
+    arriving = spark.readStream.schema(docs.schema).parquet(f"{folder}/documents.parque[t]")
+    out, checkpoint = fresh_path(spark, "scores"), fresh_path(spark, "progress")
+    score_stream(arriving, top, out, checkpoint, "doc_id", "text", "lang").awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query("token_set_similarity", "X1 X2", """
 WITH t AS (SELECT conv_id, turn, role,
     list_distinct(string_split_regex(lower(text), '[^a-z]+')) AS a,

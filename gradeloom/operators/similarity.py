@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.functions.constants import TOP_N
-from gradeloom.functions.text import ratio_or_zero
+from gradeloom.functions.text import ngrams, ratio_or_zero
 from gradeloom.operators.ngrams import doc_ngrams, gram_counts, top_grams
 from gradeloom.sources.staging import settle, stage
 
@@ -38,6 +38,29 @@ def similarity_columns(counts: DataFrame) -> DataFrame:
         ratio_or_zero(both, listed).alias("coverage"))
 
 
+def gram_lists(top: DataFrame) -> DataFrame:
+    """``group_key, listed``: the n-grams of a group's list, at most its length of them."""
+    return top.groupBy("group_key").agg(F.collect_list("gram").alias("listed"))
+
+
+def row_scores(tokens: DataFrame, lists: DataFrame, n: int = 2) -> DataFrame:
+    """The columns of ``similarity_columns`` from ``doc_key, group_key, tokens``, row by row.
+
+    ``lists`` comes from ``gram_lists``, staged. No aggregation: a document meets its group's list
+    in one join, so streams score in append mode. Intersecting hashes both sides; uses of the
+    shared n-grams are then looked up among those, at most the length of the list per use.
+    """
+    rows = tokens.join(lists, "group_key", "left").select(
+        "doc_key", "group_key", ngrams(F.col("tokens"), n).alias("grams"),
+        F.coalesce("listed", F.array().cast("array<string>")).alias("listed"))
+    rows = rows.withColumn("both", F.array_intersect("grams", "listed"))
+    uses = F.filter("grams", lambda gram: F.array_contains(F.col("both"), gram))
+    return similarity_columns(rows.select("doc_key", "group_key", *(
+        F.size(value).cast("bigint").alias(name) for name, value in (
+            ("hits", uses), ("overlap", F.col("both")),
+            ("own_grams", F.array_distinct("grams")), ("list_size", F.col("listed"))))))
+
+
 def score_documents(tokens: DataFrame, n: int = TOP_N, fit_on: DataFrame | None = None) -> DataFrame:
     """All similarity columns for each document of a token table.
 
