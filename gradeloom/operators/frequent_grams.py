@@ -11,7 +11,7 @@ and only n-grams that may reach the bound are counted one by one:
 3. N-grams of cells that reach the bound are counted exactly; ties with the bound stay in.
 
 The list equals that of exact counting, whatever the sketch proposes: poor candidates lower the
-bound and let more n-grams through to step 3. The uses are read three times and shuffled as
+bound and let more n-grams through to step 3, and fewer than n candidates give no bound. The uses are read three times and shuffled as
 sketches, candidates and cells: sizes that do not grow with the number of different n-grams.
 """
 
@@ -26,9 +26,9 @@ from gradeloom.functions.text import content_tokens, ngrams
 from gradeloom.operators.ngrams import top_grams
 from gradeloom.sources.staging import stage
 
-CELLS = 1 << 15
+CELLS = 1 << 16
 # Items that a sketch follows for each one it is asked for.
-TRACKED = 8
+TRACKED = 32
 MOST_TRACKED = 1_000_000
 
 
