@@ -7,7 +7,8 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -31,11 +32,15 @@ def shared_root(spark: SparkSession) -> str:
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_SCOPES: list[list[Scratch]] = []
+
+
 class Scratch:
     """Tables that one operator call writes under the shared folder.
 
     Writing cuts the lineage on storage that outlives every executor, and later readers see the
-    table's true size. ``drop`` removes a table that no later step reads.
+    table's true size. ``drop`` removes a table that no later step reads, ``scratch_scope`` all
+    tables of the calls inside it.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -43,6 +48,8 @@ class Scratch:
         app = spark.sparkContext.applicationId
         self.base = f"{shared_root(spark)}/llm/{app}/{label}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        if _SCOPES:
+            _SCOPES[-1].append(self)
 
     def write(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
         """``df`` as a table. With ``free`` Spark deletes the job's shuffle files when it is over,
@@ -64,8 +71,27 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = self.paths.pop(id(df), None)
         if path:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            self._delete(path)
+
+    def clear(self) -> None:
+        """Remove every table of this call; frames that still read one become unusable."""
+        self.paths.clear()
+        self._delete(self.base)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Remove what operators called inside wrote to scratch; write their results before it ends."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for scratch in _SCOPES.pop():
+            scratch.clear()
 
 
 def worker_state(key: str, build: Callable[[], object]) -> object:

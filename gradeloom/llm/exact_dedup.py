@@ -2,8 +2,9 @@
 
 Documents are split by their first block of bytes, groups of several documents by the next
 block, and so on until a group has one member or its texts have ended. Equality is decided by
-the bytes themselves. Blocks double in width, so a text of n bytes takes about log2(n) rounds,
-and only members of groups that are still shared go to the next round.
+the bytes themselves. Blocks double in width without a ceiling, so a text of n bytes takes about
+log2(n / 256) rounds, and only members of groups that are still shared go to the next round. The
+widest block is half of the text that it was cut from, which its row holds anyway.
 
 A round is one aggregate with map-side combine (a group of copies leaves one row per task) and
 one join of rows to the group table. The group table has one row per group, so a hot group is
@@ -19,7 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gradeloom.llm.common import Scratch, release_shuffles
 
 FIRST_BLOCK = 256
-WIDEST_BLOCK = 1 << 16
+# No text is longer than a Spark value, so this only keeps widths within an int.
+WIDEST_BLOCK = 1 << 30
 SPACES = r"[\x20\x09-\x0D]+"
 
 

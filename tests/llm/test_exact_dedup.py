@@ -2,6 +2,8 @@ import hashlib
 import re
 
 import pytest
+from gradeloom.llm import exact_dedup
+from gradeloom.llm.common import Scratch
 from gradeloom.llm.exact_dedup import exact_duplicates, without_copies
 
 from .plain import awkward, rows_of
@@ -65,3 +67,16 @@ def test_a_large_group_is_combined_before_the_shuffle(spark, folder):
                                         "ELSE concat('text ', id) END AS text")
     got = exact_duplicates(docs).where("text_sha256 = sha2('same', 256)").groupBy("keep_id").count()
     assert [tuple(r) for r in got.collect()] == [(0, 1000)]
+
+
+def test_rounds_are_logarithmic_in_the_longest_text(spark, monkeypatch):
+    """Two copies of 8 MB and one that differs in the last byte: 16 rounds, not one per 64 KB."""
+    rounds = []
+    write = Scratch.write
+    monkeypatch.setattr(exact_dedup.Scratch, "write", lambda self, df, name, **more: (
+        rounds.append(name), write(self, df, name, **more))[1])
+    docs = spark.range(3).selectExpr(
+        "id AS doc_id", "concat(repeat('abcdefg ', 1 << 20), if(id = 1, 'x', 'y')) AS text")
+    got = rows_of(exact_duplicates(docs), "doc_id", "keep_id", "group_size", "kept")
+    assert got == [(0, 0, 2, True), (1, 1, 1, True), (2, 0, 2, False)]
+    assert rounds.count("sizes") == 16
