@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm.common import Scratch
+from gradeloom.llm.common import Scratch, scratch_scope
 from gradeloom.llm.exact_dedup import without_copies
 from gradeloom.llm.mixing import mixed
 from gradeloom.llm.packing import pack
@@ -63,9 +63,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``.
+
+    Once a stage is written, its predecessor's table and what its operators wrote on the way go.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for n, (_, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), f"stage{n}")
+        before = docs
+        with scratch_scope():
+            docs = scratch.write(stage(spark, before, sf_dir), f"stage{n}")
+        scratch.drop(before)
     return docs
