@@ -1,8 +1,10 @@
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import pytest
 
+from gradeloom.llm.common import shared_root
 from gradeloom.llm.exact_dedup import normalised
 from gradeloom.llm.queries import ORACLES, QUERIES
 
@@ -101,6 +103,16 @@ def test_stages_take_awkward_tables(spark, folder, tmp_path):
             assert (out.count() > 0) == (table is docs)
 
 
+def test_run_leaves_its_result_alone(spark, folder, stages):
+    home = Path(shared_root(spark).removeprefix("file:"), "llm", spark.sparkContext.applicationId)
+    before = set(home.rglob("*.parquet"))
+    got = corpus_pipeline.run(spark, folder)
+    new = {p for p in set(home.rglob("*.parquet")) - before if p.is_file()}
+    assert {p.parent.parent.name.rsplit("-", 1)[0] for p in new} == {"pipeline"}
+    assert len({p.parent for p in new}) == 1
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, stages[-1].collect()))
+
+
 def test_run_is_registered(spark):
     import __spark_entry__ as entry
     assert entry.queries()["pipeline"] is corpus_pipeline.run
