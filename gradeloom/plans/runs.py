@@ -24,7 +24,7 @@ from gradeloom.operators.neighbours import nearest, vote
 from gradeloom.operators.ngrams import token_table
 from gradeloom.operators.similarity import score_documents
 from gradeloom.operators.split import class_weights, stratified_split
-from gradeloom.sources.staging import stage
+from gradeloom.sources.staging import stage, stage_by
 
 # Columns left once id, target and text are dropped.
 BASE_COLUMNS = [
@@ -99,14 +99,14 @@ def feature_table(filled: DataFrame, settings: Settings = Settings()) -> DataFra
         essay_tokens(filled), settings.n, list_source(filled, settings)).select(
         F.col("doc_key").alias("essay_id"), F.col("similarity").alias("similarity_score"))
     features = add_features(filled.select("essay_id", "full_text")).drop("full_text")
-    return stage(features.join(scores, "essay_id", "left"), "features")
+    return stage_by(features.join(scores, "essay_id", "left"), "features", "essay_id")
 
 
 def similarity_table(filled: DataFrame, lexicon: DataFrame,
                      settings: Settings = EXPERIMENT) -> DataFrame:
     """The five similarity columns per essay."""
     n, source = settings.n, list_source(filled, settings)
-    tokens = stage(essay_tokens(filled), "tokens")
+    tokens = stage_by(essay_tokens(filled), "tokens", "doc_key")
     plain = score_documents(tokens, n, source).select("doc_key", "similarity", "dice", "jaccard")
     content = score_documents(keep_content_words(tokens, lexicon), n, source).select(
         "doc_key", F.col("similarity").alias("nav_similarity"))
@@ -222,7 +222,7 @@ def main_run(essays: DataFrame, settings: Settings = Settings(),
     every essay; without it they are computed.
     """
     filled = filled_essays(essays, settings.sort_keys)
-    encoded = stage(encoded_essays(filled), "encoded")
+    encoded = stage_by(encoded_essays(filled), "encoded", "essay_id")
     base = grade_models(encoded, BASE_COLUMNS, Settings(
         test_size=settings.test_size, seed=settings.seed, max_iter=settings.max_iter), "base")
     if features is None:

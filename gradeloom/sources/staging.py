@@ -18,6 +18,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _SCOPES: list[list[str]] = []
+# Tables of the catalog by the folder that holds them.
+_TABLES: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +55,22 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, label: str, *keys: str) -> DataFrame:
+    """``df`` staged in buckets of ``keys``, one file each and as many as shuffle partitions.
+
+    A plain staged table forgets how its rows were dealt out. A bucketed one is read as it was
+    written, so joins with its like and groups by ``keys`` (or by them and more) need no exchange.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    name = "staged_" + path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option(
+        "path", path).saveAsTable(name)
+    _TABLES[path] = name
+    return spark.table(name)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Stage a table about to be looked up, unless the planner's own bound already says small.
 
@@ -76,7 +94,10 @@ def staged_scope(spark: SparkSession) -> Iterator[None]:
 
 def clear_staged(spark: SparkSession) -> None:
     """Delete every table this application staged; frames that still read them become unusable."""
-    _delete(spark, staged_dir(spark))
+    root = staged_dir(spark)
+    for path in [p for p in _TABLES if p.startswith(f"{root}/")]:
+        _delete(spark, path)
+    _delete(spark, root)
 
 
 # The two steps below have no public form; they need a classic session.
@@ -88,5 +109,8 @@ def _planner_sizes(df: DataFrame) -> tuple[int, int]:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    name = _TABLES.pop(path, None)
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -3,9 +3,10 @@ from pyspark.sql import functions as F
 
 from gradeloom.catalog.similarity import document_tokens, tagged_tokens
 from gradeloom.operators.lexicon import build_lexicon
+from gradeloom.operators.ngrams import doc_ngrams
 from gradeloom.plans import runs
 from gradeloom.sources.essays import essay_view
-from gradeloom.sources.staging import stage
+from gradeloom.sources.staging import stage, stage_by
 
 QUICK = dict(max_iter=20, n=50)
 METRICS = {"accuracy", "precision", "recall", "f1_score"}
@@ -78,3 +79,25 @@ def test_essays_without_features_fail_the_run(spark):
         (1, 3, .5)]
     with pytest.raises(Exception, match="no features for essay 2"):
         runs.with_features(essays, given).collect()
+
+
+def test_staged_tables_meet_without_an_exchange(spark, folder, many_tasks):
+    """Even where nothing may be broadcast."""
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        essays = essay_view(spark, folder)
+        filled = runs.filled_essays(essays)
+        features = runs.feature_table(filled, runs.Settings(**QUICK))
+        encoded = stage_by(runs.encoded_essays(filled), "encoded", "essay_id")
+        full = runs.with_features(encoded, features)
+        assert exchanges(full) == 0 and full.count() == filled.count()
+        tokens = stage_by(runs.essay_tokens(filled), "tokens", "doc_key")
+        grams = doc_ngrams(tokens)
+        assert exchanges(grams) == 0
+        assert sorted(map(tuple, grams.collect()), key=repr) == sorted(
+            map(tuple, doc_ngrams(runs.essay_tokens(filled)).collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

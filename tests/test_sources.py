@@ -118,6 +118,22 @@ def test_a_scope_drops_what_was_staged_in_it(spark):
     assert before.count() == 3 and not os.path.exists(path)
 
 
+def test_bucketed_tables_keep_their_rows_and_go_with_their_scope(spark):
+    rows = spark.range(100).selectExpr("IF(id < 9, NULL, id) AS id", "CAST(id % 7 AS INT) AS g")
+    with staging.staged_scope(spark):
+        kept = staging.stage_by(rows, "bucketed", "id")
+        assert kept.schema == rows.schema
+        assert sorted(map(tuple, kept.collect()), key=repr) == sorted(
+            map(tuple, rows.collect()), key=repr)
+        assert staging.stage_by(rows.where("id < 0"), "bucketed", "id").collect() == []
+        assert len([t for t in spark.catalog.listTables() if "bucketed" in t.name]) == 2
+    assert not [t for t in spark.catalog.listTables() if "bucketed" in t.name]
+    staging.stage_by(rows, "bucketed", "id")
+    staging.clear_staged(spark)
+    assert not [t for t in spark.catalog.listTables() if "bucketed" in t.name]
+    assert not os.path.exists(staging.staged_dir(spark).removeprefix("file:"))
+
+
 @pytest.mark.parametrize("n", [1000, 5000])
 def test_top_grams_of_any_length(spark, n):
     counts = spark.range(20_000).selectExpr(
