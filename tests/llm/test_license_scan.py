@@ -69,3 +69,38 @@ def test_given_documents(spark, folder):
                   for _ in range((r.text or "").count(TEMPLATES[name])))
     assert rows_of(license_notices(docs).where("confirmed"), "doc_id", "license_id") == sorted(
         want, key=repr)
+
+
+def test_wording_without_any_cue_word(spark):
+    own = {"Own": "Members may pass this text on to others as long as they name the club."}
+    text = own["Own"].replace("to others ", "to all others ")
+    docs = spark.createDataFrame([(1, f"x y. {text} z"), (2, "Members may pass.")],
+                                 "doc_id bigint, text string")
+    got = license_notices(docs, own).collect()
+    assert [(r.doc_id, r.license_id, r.missing, r.extra, r.confirmed) for r in got] == [
+        (1, "Own", "", "all", True)]
+    assert license_notices(docs, {}).collect() == license_notices(docs, {"": " "}).collect() == []
+
+
+def test_any_tolerated_change_leaves_a_place_to_look_at(spark):
+    """Every choice of changed words within the tolerance, in a template without cue words."""
+    words = [f"w{'abcdefghijklmnopqrstuvwxyz'[i]}" for i in range(20)]
+    own = {"Own": " ".join(words)}
+    rows = []
+    for a in range(20):
+        for b in range(a + 1, 20):
+            kept = [w for i, w in enumerate(words) if i not in (a, b)]
+            rows.append((100 * a + b, "pre\u00a0" + " * ".join(kept) + "\u2003post"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = license_notices(docs, own).where("confirmed").collect()
+    assert sorted(r.doc_id for r in got) == [k for k, _ in rows]
+
+
+def test_headers_in_comments_and_other_numbers():
+    for name, text in TEMPLATES.items():
+        lines = text.split()
+        page = "/*\n" + "\n".join(" * " + " ".join(lines[i:i + 9]) for i in range(0, len(lines), 9))
+        assert names(page + "\n */") == [(name, True)]
+    for name in ("GPL-3.0-header", "LGPL-2.1-header", "MPL-2.0-header", "GPL-2.0-only-spdx"):
+        changed = TEMPLATES[name].replace("version 3", "version 4").replace("2.", "7.")
+        assert all(not sure for _, sure in names(changed))
