@@ -152,25 +152,9 @@ def build_tree(train: DataFrame, k: int = NEIGHBOURS, leaf_rows: int | None = No
 
 def _search(asked: DataFrame, held: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     """``query, neighbour, d2``: the k nearest of each block of ``held`` with the query's keys."""
-    keys = list(keys)
-    loads = settle(asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("asked")).join(
-        held.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")), keys).select(
-        *keys, nb._blocks("size").alias("train_blocks"), nb._blocks("asked").alias("query_blocks")),
-        "loads")
-
-    def every(count: str):
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    def own(column: str, count: str):
-        return F.pmod(F.xxhash64(column), F.col(count)).cast("int")
-
-    block = [*keys, "train_block", "query_block"]
-    left = asked.join(loads, keys).withColumn("query_block", own("query", "query_blocks")).withColumn(
-        "train_block", every("train_blocks")).select(*block, "query", "features")
-    right = held.join(loads, keys).withColumn("train_block", own("neighbour", "train_blocks")).withColumn(
-        "query_block", every("query_blocks")).select(*block, "neighbour", "features")
-    return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(
-        nb._block_top(k), "query bigint, neighbour bigint, d2 double")
+    loads = asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("asked")).join(
+        held.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")), [*keys])
+    return nb.block_search(asked, held, loads, keys, k)
 
 
 def _asked(queries: DataFrame) -> tuple[DataFrame, DataFrame]:

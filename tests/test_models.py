@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,38 @@ def test_neighbours_match_brute_force(spark, monkeypatch, pivots):
         listed(queries), listed(train), 6)
 
 
+def test_a_routed_query_is_one_row_and_one_product_finds_the_nearest(monkeypatch):
+    """Routing must not make a row of features per query and cell; that filled a task's memory."""
+    rng = np.random.default_rng(4)
+    pivots = rng.normal(size=(256, 8))
+    asked = pd.DataFrame({
+        "part": "all", "query": range(3000), "features": list(rng.normal(size=(3000, 8)))})
+    for name, values in (("cells", np.arange(256)), ("sizes", np.full(256, 40)),
+                         ("radii", np.full(256, 3.0)), ("shelves", np.arange(256) // 30)):
+        asked[name] = [values] * len(asked)
+    routed = list(nb._route(pivots, 6)(iter([asked])))
+    assert sum(map(len, routed)) == 3000 and max(map(len, routed)) <= nb.ROUTE_ROWS
+
+    # Far from zero, with ties and copies, in several pieces.
+    monkeypatch.setattr(nb, "HELD", 700)
+    monkeypatch.setattr(nb, "PROBE", 16)
+    left, right = (rng.integers(0, 4, (n, 3)) + 1e6 for n in (50, 300))
+    at, to, d2 = nb._k_nearest(left, right, 6)
+    exact = nb._squared(left, right)
+    want = np.argsort(exact, axis=1, kind="stable")[:, :6]
+    assert (to.reshape(50, 6) == want).all() and (at == np.repeat(np.arange(50), 6)).all()
+    assert (d2 == exact[at, to]).all()
+
+
+def test_shelves_and_blocks_of_both_sides(spark, monkeypatch):
+    for name, rows in (("BLOCK_ROWS", 20), ("TRAIN_ROWS", 32), ("QUERY_ROWS", 16)):
+        monkeypatch.setattr(nb, name, rows)
+    rng = np.random.default_rng(3)
+    train = points(spark, range(400), rng.normal(size=(400, 2)).tolist())
+    queries = points(spark, range(1000, 1090), rng.normal(size=(90, 2)).tolist())
+    assert found(queries, train, 6) == brute_force(listed(queries), listed(train), 6)
+
+
 def test_fewer_training_rows_than_neighbours(spark):
     train = points(spark, [1, 2], [[0.0], [5.0]])
     queries = points(spark, [10], [[4.0]])
