@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, functions as F
 
@@ -45,7 +45,10 @@ def split_contractions(text: Column) -> Column:
     tails = "|".join(sorted({tail for _, tail in CONTRACTIONS}))
     # Literals first and word edges after them, so most positions fail on one comparison.
     pattern = f"({heads})(?<=(?:^|[{BLANK}])[a-z]{{3}})(?=(?:{tails})(?:[{BLANK}]|$))"
-    return F.regexp_replace(text, pattern, "$1 ")
+    # Few texts hold any of them, and a plain search is far cheaper than the pattern.
+    return bind(text, lambda t: F.when(
+        reduce(or_, (F.contains(t, F.lit(head + tail)) for head, tail in CONTRACTIONS)),
+        F.regexp_replace(t, pattern, "$1 ")).otherwise(t))
 
 
 def words(text: Column) -> Column:
@@ -83,6 +86,29 @@ def ngrams(tokens: Column, n: int = 2, joined: bool = True) -> Column:
     return bind(tokens, build)
 
 
+def gram_runs(grams: Column) -> Column:
+    """Distinct n-grams of an array as ``gram, repeats, first_pos``, in the order of the n-grams.
+
+    One sort per row; equal n-grams lie side by side, so nothing is kept between rows.
+    """
+    def runs(placed: Column) -> Column:
+        def change(i: Column) -> Column:
+            return (i == 0) | (F.get(placed, i)["gram"] != F.get(placed, i - 1)["gram"])
+
+        def run(starts: Column) -> Column:
+            return F.transform(starts, lambda start, j: F.struct(
+                F.get(placed, start)["gram"].alias("gram"),
+                (F.coalesce(F.get(starts, j + 1), F.size(placed)) - start).cast("bigint").alias("repeats"),
+                F.get(placed, start)["pos"].alias("first_pos")))
+
+        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(placed) - 1, F.lit(0))),
+                          lambda i: (i < F.size(placed)) & change(i))
+        return bind(places, run)
+
+    return bind(F.sort_array(F.transform(
+        grams, lambda gram, i: F.struct(gram.alias("gram"), i.alias("pos")))), runs)
+
+
 def occurrences(text: Column, needle: str) -> Column:
     """Non-overlapping occurrences of a substring, counted on bytes so no string is decoded."""
     removed = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(needle), F.lit("")))

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.functions.constants import TOP_N
-from gradeloom.functions.text import content_tokens, ngrams
+from gradeloom.functions.text import content_tokens, gram_runs, ngrams
 from gradeloom.operators.ranking import top_per_group
-from gradeloom.sources.tables import too_few_splits
+from gradeloom.sources.tables import task_count, too_few_splits
+
+# Ship the functions below with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Rows a task collects before it cuts its lists again.
+HELD_ROWS = 1 << 16
 
 
 def token_table(docs: DataFrame, doc: str, text: str = "full_text", group: str = "prompt_name",
@@ -17,32 +28,41 @@ def token_table(docs: DataFrame, doc: str, text: str = "full_text", group: str =
                 tokenise: Callable[[Column], Column] = content_tokens) -> DataFrame:
     """One row per document: ``doc_key, group_key, row_key, tokens``, partitioned by document.
 
-    Hash partitioning on the document lets every later per-document step run without a
-    shuffle. The exchange carries tokens; only inputs with too few splits to fill the cluster
-    are spread first, as text.
+    A task gets a bounded share of the input, because counting keeps every n-gram of a task
+    until it is shuffled. The exchange carries tokens; only inputs with too few splits to fill
+    the cluster are spread first, as text.
     """
     keyed = docs.select(
         F.col(doc).alias("doc_key"), F.col(group).alias("group_key"),
         F.col(order).alias("row_key"), F.col(text).alias("text"))
+    tokens = tokenise(F.col("text")).alias("tokens")
     if too_few_splits(docs):
-        slots = docs.sparkSession.sparkContext.defaultParallelism
-        return keyed.repartition(2 * slots, "doc_key").select(
-            "doc_key", "group_key", "row_key", tokenise(F.col("text")).alias("tokens"))
-    return keyed.select(
-        "doc_key", "group_key", "row_key", tokenise(F.col("text")).alias("tokens")
-    ).repartition("doc_key")
+        return keyed.repartition(task_count(docs), "doc_key").select(
+            "doc_key", "group_key", "row_key", tokens)
+    return keyed.select("doc_key", "group_key", "row_key", tokens).repartition(
+        task_count(docs), "doc_key")
+
+
+def doc_runs(tokens: DataFrame, n: int = 2) -> DataFrame:
+    """The n-grams of each document in its row: ``runs`` of ``gram, repeats, first_pos``."""
+    return tokens.select("doc_key", "group_key", "row_key",
+                         gram_runs(ngrams(F.col("tokens"), n)).alias("runs"))
+
+
+def run_rows(runs: DataFrame) -> DataFrame:
+    """One row per n-gram of ``doc_runs``, and one with a null ``gram`` for documents without any."""
+    return runs.select("doc_key", "group_key", "row_key", F.explode_outer("runs").alias("run")).select(
+        "doc_key", "group_key", "row_key", "run.gram",
+        F.coalesce("run.repeats", F.lit(0).cast("bigint")).alias("repeats"), "run.first_pos")
 
 
 def doc_ngrams(tokens: DataFrame, n: int = 2) -> DataFrame:
     """Distinct n-grams per document with repeat count and first position.
 
-    A document without n-grams keeps one row whose ``gram`` is null.
+    ``tokens`` has one row per document, in which its n-grams are sorted and counted; no table of
+    them is kept. A document without n-grams keeps one row whose ``gram`` is null.
     """
-    exploded = tokens.select(
-        "doc_key", "group_key", "row_key",
-        F.posexplode_outer(ngrams(F.col("tokens"), n)).alias("pos", "gram"))
-    return exploded.groupBy("doc_key", "group_key", "row_key", "gram").agg(
-        F.count("gram").alias("repeats"), F.min("pos").alias("first_pos"))
+    return run_rows(doc_runs(tokens, n))
 
 
 def gram_counts(grams: DataFrame) -> DataFrame:
@@ -57,7 +77,49 @@ def gram_counts(grams: DataFrame) -> DataFrame:
         F.min_by("first_pos", "row_key").alias("first_pos"))
 
 
+def _task_top(n: int):
+    """What a task may contribute to the lists: the first n of each group among its rows.
+
+    Rows are not sorted: once a group holds n, rows with fewer occurrences than its n-th pass by.
+    """
+    order = [("_group", "ascending"), ("occurrences", "descending"), ("first_row", "ascending"),
+             ("first_pos", "ascending")]
+
+    def cut(rows: pa.Table) -> tuple[pa.Table, dict]:
+        groups = rows["group_key"].combine_chunks().dictionary_encode(null_encoding="encode")
+        at = pc.sort_indices(rows.append_column("_group", groups.indices), sort_keys=order,
+                             null_placement="at_start")
+        rows, codes = rows.take(at), groups.indices.take(at).to_numpy()
+        rank = np.arange(len(codes)) - np.searchsorted(codes, codes)
+        last = np.flatnonzero(rank == n - 1)
+        names, uses = groups.dictionary.to_pylist(), rows["occurrences"].to_numpy()
+        return rows.filter(pa.array(rank < n)), {
+            names[c]: u for c, u in zip(codes[last], uses[last])}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, most, least = [], 0, HELD_ROWS, {}
+        for batch in batches:
+            if least and len(batch):
+                groups = batch["group_key"].dictionary_encode(null_encoding="encode")
+                bound = np.array([least.get(g, 0) for g in groups.dictionary.to_pylist()])
+                batch = batch.filter(pa.array(
+                    batch["occurrences"].to_numpy() >= bound[groups.indices.to_numpy()]))
+            held.append(batch)
+            size += len(batch)
+            if size > most:
+                rows, least = cut(pa.Table.from_batches(held))
+                held, size = rows.to_batches(), len(rows)
+                most = 2 * size + HELD_ROWS
+        if size:
+            yield from cut(pa.Table.from_batches(held))[0].to_batches()
+    return run
+
+
 def top_grams(counts: DataFrame, n: int = TOP_N) -> DataFrame:
-    """The n most frequent n-grams of each group; ties go to the one seen first."""
+    """The n most frequent n-grams of each group; ties go to the one seen first.
+
+    Each task cuts its counts to n per group where they are made, so they are shuffled once.
+    """
     order = [F.desc("occurrences"), F.asc("first_row"), F.asc("first_pos")]
-    return top_per_group(counts, ["group_key"], order, n, spread_by="gram")
+    fewer = counts.mapInArrow(_task_top(n), counts.schema)
+    return top_per_group(fewer, ["group_key"], order, n, spread_by="gram")

@@ -100,12 +100,21 @@ def clear_staged(spark: SparkSession) -> None:
     _delete(spark, root)
 
 
-# The two steps below have no public form; they need a classic session.
+# The steps below have no public form; they need a classic session.
 
 
 def _planner_sizes(df: DataFrame) -> tuple[int, int]:
     bound = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return bound, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return bound, planner_bytes(df)
+
+
+def planner_bytes(df: DataFrame) -> int:
+    """The planner's size of ``df``: that of its files for a plain scan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def split_bytes(spark: SparkSession) -> int:
+    return int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -172,3 +172,47 @@ def test_row_scores_without_list_or_tokens(spark):
                  for r in sm.row_scores(tokens, sm.gram_lists(top)).collect())
     assert got == [(1, 0, 0, 1, 0, 0), (2, 0, 0, 2, 0, 0), (3, 0, 0, 0, 2, 0), (4, 0, 0, 1, 2, 0),
                    (4, 2, 1, 2, 2, 1)]
+
+
+def _nodes(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ngrams_are_counted_in_their_row(spark):
+    """Neither tables of a task's n-grams nor an exchange: they grew with what a task was given."""
+    docs = [(1, "a", 1, "x y x y x y z".split()), (2, "a", 2, []), (3, "b", 3, ["one"])]
+    tokens = spark.createDataFrame(
+        docs, "doc_key bigint, group_key string, row_key bigint, tokens array<string>")
+    counted = ng.doc_ngrams(tokens)
+    assert "Aggregate" not in _nodes(counted) and "Exchange" not in _nodes(counted)
+    assert sorted((tuple(r) for r in counted.collect()), key=str) == sorted([
+        (1, "a", 1, "x y", 3, 0), (1, "a", 1, "y x", 2, 1), (1, "a", 1, "y z", 1, 5),
+        (2, "a", 2, None, 0, None), (3, "b", 3, None, 0, None)], key=str)
+
+
+@pytest.mark.parametrize("held", [1, 7, 1 << 16])
+def test_counts_are_cut_in_their_task(spark, monkeypatch, held):
+    """Counts beyond n per task and group are not shuffled again, whatever comes first."""
+    monkeypatch.setattr(ng, "HELD_ROWS", held)
+    rows = [(g, f"{g} {i}", 1 + (i * 7) % 5, None if i % 11 == 0 else i % 9, i) for i in range(200)
+            for g in ("a", "b", None)] + [("few", "only one", 1, 0, 0)]
+    counts = spark.createDataFrame(
+        rows, "group_key string, gram string, occurrences bigint, first_row bigint, first_pos int"
+    ).repartition(3)
+    fewer = counts.mapInArrow(ng._task_top(4), counts.schema)
+    assert fewer.count() <= 3 * 3 * 4 + 1
+    got = sorted((str(r.group_key), r["rank"], r.gram) for r in ng.top_grams(counts, 4).collect())
+    want = []
+    for g in ("a", "b", None, "few"):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (
+            -r[2], r[3] is not None, r[3] or 0, r[4]))
+        want += [(str(g), i + 1, r[1]) for i, r in enumerate(own[:4])]
+    assert got == sorted(want)
+
+
+def test_tasks_grow_with_the_input(spark, folder, monkeypatch):
+    from gradeloom.sources import tables
+    docs = tables.table(spark, folder, "documents")
+    monkeypatch.setattr(tables, "TASK_BYTES", 1000)
+    tokens = ng.token_table(docs, "doc_id", "text", "lang", "doc_id")
+    assert tokens.rdd.getNumPartitions() >= 100
