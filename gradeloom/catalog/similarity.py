@@ -10,7 +10,7 @@ from gradeloom.operators import (
     frequent_grams as fg, lexicon as lx, ngrams as ng, similarity as sm)
 from gradeloom.plans.runs import tfidf
 from gradeloom.sources.staging import fresh_path, stage
-from gradeloom.sources.tables import spread, table, too_few_splits
+from gradeloom.sources.tables import table
 from gradeloom.streaming.scoring import score_stream
 
 GRAMS = sql.with_(sql.tokens(), sql.grams())
@@ -57,10 +57,9 @@ def top_grams(spark, folder):
 @query("frequent_grams", "K3 A4", TOP + """
 SELECT group_key, gram, occurrences, rank FROM top""")
 def frequent_grams(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
-    if too_few_splits(docs):  # spread once, not in each of the three passes
-        docs = stage(spread(docs, "doc_id"), "documents")
-    found = fg.frequent_grams(fg.gram_uses(docs, "lang", "doc_id", "text"))
+    # Texts are cut into words once, not in each of the three passes.
+    runs = stage(ng.doc_runs(document_tokens(spark, folder)), "runs")
+    found = fg.frequent_grams(fg.run_uses(runs))
     return found.select("group_key", "gram", "occurrences", "rank")
 
 

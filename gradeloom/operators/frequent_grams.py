@@ -32,6 +32,13 @@ TRACKED = 32
 MOST_TRACKED = 1_000_000
 
 
+def run_uses(runs: DataFrame) -> DataFrame:
+    """``group_key, row_key, pos, gram, repeats`` from ``ngrams.doc_runs``: one row per document
+    and n-gram, with its first place."""
+    return runs.select("group_key", "row_key", F.explode("runs").alias("run")).select(
+        "group_key", "row_key", F.col("run.first_pos").alias("pos"), "run.gram", "run.repeats")
+
+
 def gram_uses(docs: DataFrame, group: str = "prompt_name", order: str = "row_id",
               text: str = "full_text", n: int = 2,
               tokenise: Callable[[Column], Column] = content_tokens) -> DataFrame:
@@ -49,12 +56,15 @@ def _same(left: DataFrame, right: DataFrame, *keys: str) -> Column:
 
 
 def frequent_grams(uses: DataFrame, n: int = TOP_N, cells: int = CELLS) -> DataFrame:
-    """The list of ``ngrams.top_grams`` from the rows of ``gram_uses``.
+    """The list of ``ngrams.top_grams`` from the rows of ``run_uses`` or ``gram_uses``.
 
     ``group_key, gram, occurrences, first_row, first_pos, rank``. Ties go to the n-gram seen first.
     Groups with fewer than n different n-grams list all of them; null groups are a group.
     """
     uses = uses.where(F.col("gram").isNotNull())
+    if "repeats" not in uses.columns:
+        uses = uses.groupBy("group_key", "row_key", "gram").agg(
+            F.count(F.lit(1)).alias("repeats"), F.min("pos").alias("pos"))
     tracked = min(MOST_TRACKED, TRACKED * n)
     proposed = stage(
         uses.groupBy("group_key").agg(
@@ -67,16 +77,17 @@ def frequent_grams(uses: DataFrame, n: int = TOP_N, cells: int = CELLS) -> DataF
             *(rows[c] for c in rows.columns), proposed["proposed"],
             F.pmod(F.xxhash64(rows["gram"]), F.lit(cells)).alias("cell"))
 
-    place = F.struct("row_key", "pos")
+    # Plain columns, so that rows are combined by hash and not sorted.
+    summed = [F.sum("repeats").alias("occurrences"), F.min("row_key").alias("first_row"),
+              F.min_by("pos", "row_key").alias("first_pos")]
     mine = F.col("proposed").isNotNull()
     counted = stage(
         marked(uses).groupBy(
             "group_key", F.when(mine, F.col("gram")).alias("gram"),
             F.when(~mine, F.col("cell")).alias("cell"))
-        .agg(F.count(F.lit(1)).alias("occurrences"), F.min(F.when(mine, place)).alias("first")),
-        "counted")
+        .agg(*summed), "counted")
     known = counted.where("gram IS NOT NULL").select(
-        "group_key", "gram", "occurrences", "first")
+        "group_key", "gram", "occurrences", "first_row", "first_pos")
     # At most n candidates of each group meet in this window.
     low = Window.partitionBy("group_key").orderBy(F.desc("occurrences"))
     bound = stage(known.withColumn("at", F.row_number().over(low)).where(F.col("at") == n).select(
@@ -87,8 +98,5 @@ def frequent_grams(uses: DataFrame, n: int = TOP_N, cells: int = CELLS) -> DataF
     heavy = stage(heavy, "cells")
     others = marked(uses).where("proposed IS NULL")
     survivors = others.join(heavy, _same(others, heavy, "cell"), "left_semi").groupBy(
-        "group_key", "gram").agg(F.count(F.lit(1)).alias("occurrences"), F.min(place).alias("first"))
-    counts = known.unionByName(survivors).select(
-        "group_key", "gram", "occurrences", F.col("first.row_key").alias("first_row"),
-        F.col("first.pos").alias("first_pos"))
-    return top_grams(counts, n)
+        "group_key", "gram").agg(*summed)
+    return top_grams(known.unionByName(survivors), n)

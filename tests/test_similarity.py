@@ -1,3 +1,5 @@
+import math
+import re
 from collections import Counter
 
 import pytest
@@ -5,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions.text import content_tokens
 from gradeloom.operators import ngrams as ng, similarity as sm
-from gradeloom.operators.frequent_grams import frequent_grams, gram_uses
+from gradeloom.operators.frequent_grams import frequent_grams, gram_uses, run_uses
 from gradeloom.operators.lexicon import build_lexicon, keep_content_words
 from gradeloom.sources.staging import stage
 from gradeloom.sources.tables import table
@@ -216,3 +218,38 @@ def test_tasks_grow_with_the_input(spark, folder, monkeypatch):
     monkeypatch.setattr(tables, "TASK_BYTES", 1000)
     tokens = ng.token_table(docs, "doc_id", "text", "lang", "doc_id")
     assert tokens.rdd.getNumPartitions() >= 100
+
+
+def test_terms_of_a_document_are_counted_in_its_row(spark):
+    """tf-idf must not exchange a row per document and term before it weighs them."""
+    tokens = spark.createDataFrame(
+        [(1, "a", 1, "x y x".split()), (2, "a", 2, ["y"]), (3, "b", 3, [])],
+        "doc_key bigint, group_key string, row_key bigint, tokens array<string>")
+    scored = sm.prompt_tfidf(tokens, tokens.where("doc_key = 2"))
+    plan = _nodes(scored)
+    assert not re.search(r"hashpartitioning\(doc_key#\d+L?, group_key#\d+, token", plan)
+    got = {r.doc_key: round(r.tfidf, 6) for r in scored.collect()}
+    weights = {"x": 2 * (math.log(4 / 2) + 1), "y": math.log(4 / 3) + 1}
+    assert got == {1: round(weights["y"] / math.hypot(*weights.values()), 6), 2: 1.0, 3: 0.0}
+
+
+def test_words_outside_a_dictionary_are_counted_in_their_row(spark):
+    from gradeloom.operators.lexicon import unknown_word_counts
+    docs = spark.createDataFrame([(1, "Ab ab, cd"), (2, "cd"), (3, None)], "id bigint, body string")
+    known = spark.createDataFrame([("cd",), ("cd",)], "token string")
+    counted = unknown_word_counts(docs, "id", "body", known)
+    assert not re.search(r"hashpartitioning\(id#\d+L?, token", _nodes(counted))
+    assert {r.id: r.unknown_words for r in counted.collect()} == {1: 2, 2: 0, 3: 0}
+
+
+def test_uses_are_one_row_for_a_document_and_ngram(spark):
+    """Three passes read these rows; the first place is a plain column, combined by hash."""
+    tokens = spark.createDataFrame(
+        [(1, "p", 1, "red blue red blue red".split()), (2, "p", 2, ["red", "blue"])],
+        "doc_key bigint, group_key string, row_key bigint, tokens array<string>")
+    uses = run_uses(ng.doc_runs(tokens))
+    assert sorted(map(tuple, uses.collect())) == [
+        ("p", 1, 0, "red blue", 2), ("p", 1, 1, "blue red", 2), ("p", 2, 0, "red blue", 1)]
+    assert [(r.gram, r.occurrences, r.first_row, r.first_pos)
+            for r in frequent_grams(uses, 2, 16).orderBy("rank").collect()] == [
+        ("red blue", 3, 1, 0), ("blue red", 2, 1, 1)]
