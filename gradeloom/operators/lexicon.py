@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.functions.constants import CONTENT_TAGS
-from gradeloom.functions.text import word_runs
+from gradeloom.functions.text import gram_runs, word_runs
 from gradeloom.operators.ranking import top_per_group
+from gradeloom.sources.staging import settle
 
 
 def build_lexicon(tagged: DataFrame) -> DataFrame:
@@ -61,16 +62,19 @@ def unknown_word_counts(docs: DataFrame, doc: str, text: str,
 
     Without a dictionary (column ``token``), a word is known once two documents use it. That
     needs no join: a word whose smallest and largest document agree is unknown, and a frequent
-    word is combined on the map side to one row per task.
+    word is combined on the map side to one row per task. With one, a document's words are counted
+    in its row, and the dictionary is staged, so that its true size decides the join.
     """
-    words = word_rows(docs, doc, text)
     if dictionary is None:
+        words = word_rows(docs, doc, text)
         rare = words.groupBy("token").agg(
             F.count(F.lit(1)).alias("repeats"), F.min(doc).alias(doc),
             F.max(doc).alias("_other")).where(F.col(doc) == F.col("_other"))
     else:
-        counted = words.groupBy(doc, "token").agg(F.count(F.lit(1)).alias("repeats"))
-        rare = counted.join(dictionary.select("token"), "token", "left_anti")
+        known = settle(dictionary.select("token"), "dictionary")
+        counted = docs.select(doc, F.explode(gram_runs(word_runs(F.col(text)))).alias("run")).select(
+            doc, F.col("run.gram").alias("token"), "run.repeats")
+        rare = counted.join(known, "token", "left_anti")
     found = rare.groupBy(doc).agg(F.sum("repeats").alias("unknown_words"))
     return docs.select(doc).join(found, doc, "left").withColumn(
         "unknown_words", F.coalesce("unknown_words", F.lit(0).cast("bigint")))
