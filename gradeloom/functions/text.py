@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import add, or_
 
@@ -146,7 +146,20 @@ def ratio_or_zero(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(F.try_divide(numerator.cast("double"), denominator), F.lit(0.0))
 
 
-def rule_hits(text: Column, patterns: Sequence[str]) -> Column:
-    """Matches of all patterns together; the list is the caller's and stays in the plan."""
-    hits = (F.regexp_count(as_text(text), F.lit(p)).cast("bigint") for p in patterns)
-    return reduce(add, hits, F.lit(0).cast("bigint"))
+def rule_hits(text: Column, patterns: Sequence[str],
+              needed: Mapping[str, Sequence[str]] | None = None) -> Column:
+    """Matches of all patterns together; the list is the caller's and stays in the plan.
+
+    ``needed`` may name, for a pattern, literals of which every match holds one; texts without any of
+    them are not searched by that pattern.
+    """
+    body, needed = as_text(text), needed or {}
+
+    def hits(pattern: str) -> Column:
+        count = F.regexp_count(body, F.lit(pattern)).cast("bigint")
+        if pattern not in needed:
+            return count
+        held = reduce(or_, (F.contains(body, F.lit(part)) for part in needed[pattern]))
+        return F.when(held, count).otherwise(F.lit(0).cast("bigint"))
+
+    return reduce(add, map(hits, patterns), F.lit(0).cast("bigint"))

@@ -21,6 +21,9 @@ DEFAULT_RULES = [
     ("LONE_LOWER_I", r"(^| )i( |$)"),
     ("MORFOLOGIK_TRIPLE_LETTER", r"[a-z]*(aaa|eee|iii|ooo|uuu|ttt|sss)[a-z]*"),
 ]
+# Literals of which a match holds one. That pattern starts again at every letter of a word.
+NEEDED = {r"[a-z]*(aaa|eee|iii|ooo|uuu|ttt|sss)[a-z]*":
+          ("aaa", "eee", "iii", "ooo", "uuu", "ttt", "sss")}
 
 FEATURES = [
     "avg_sentence_length", "avg_word_length", *PUNCTUATION, "num_connectives",
@@ -45,8 +48,8 @@ def rule_counts(docs: DataFrame, text: str = "full_text",
     spelling = [p for name, p in rules if name.startswith(SPELLING_PREFIX)]
     grammar = [p for name, p in rules if not name.startswith(SPELLING_PREFIX)]
     return docs.withColumns({
-        "rule_spelling_errors": rule_hits(F.col(text), spelling),
-        "num_grammar_errors": rule_hits(F.col(text), grammar),
+        "rule_spelling_errors": rule_hits(F.col(text), spelling, NEEDED),
+        "num_grammar_errors": rule_hits(F.col(text), grammar, NEEDED),
     })
 
 

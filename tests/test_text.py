@@ -92,3 +92,17 @@ def test_spelling_against_a_dictionary(spark):
 def test_null_text_reads_as_empty(spark):
     df = spark.createDataFrame([(None,)], "t string")
     assert df.select(tx.content_tokens(F.col("t")).alias("w")).first().w == []
+
+
+def test_a_costly_rule_is_skipped_where_its_letters_are_missing(spark):
+    """The triple-letter pattern is searched only in texts that hold a triple, with equal counts."""
+    from gradeloom.functions.text import rule_hits
+    from gradeloom.operators.features import DEFAULT_RULES, NEEDED, rule_counts
+    patterns = [p for _, p in DEFAULT_RULES]
+    assert set(NEEDED) <= set(patterns)
+    docs = spark.createDataFrame(
+        [("soooo gooood, aaah Xtttx eee",), ("plain words only",), ("",), (None,)], "full_text string")
+    counted = rule_counts(docs)
+    assert "Contains(" in counted._jdf.queryExecution().analyzed().toString()
+    got = counted.withColumn("plain", rule_hits(F.col("full_text"), [p for p in patterns if p in NEEDED]))
+    assert [(r.rule_spelling_errors, r.plain) for r in got.collect()] == [(5, 5), (0, 0), (0, 0), (0, 0)]
