@@ -253,3 +253,30 @@ def test_uses_are_one_row_for_a_document_and_ngram(spark):
     assert [(r.gram, r.occurrences, r.first_row, r.first_pos)
             for r in frequent_grams(uses, 2, 16).orderBy("rank").collect()] == [
         ("red blue", 3, 1, 0), ("blue red", 2, 1, 1)]
+
+
+@pytest.mark.parametrize("n, top, chars", [(1, 7, 20_000), (2, 1, 1 << 24), (2, 50, 30_000), (3, 10_000, 5_000)])
+def test_lists_from_cells_are_those_of_all_counts(spark, folder, n, top, chars):
+    docs = table(spark, folder, "documents")
+    tokens = ng.token_table(docs, "doc_id", "text", "lang", "doc_id")
+    bodies = stage(ng.token_bodies(tokens), "bodies")
+    counts = stage(ng.gram_counts(ng.doc_ngrams(tokens, n)), "counts")
+    some = stage(ng.listed_counts(bodies, top, n, chars), "some")
+    assert set(map(tuple, ng.top_grams(some, top).collect())) == set(
+        map(tuple, ng.top_grams(counts, top).collect()))
+    assert top > 1000 or some.count() < counts.count() / 10
+    every = ng.gram_counts(ng.task_grams(bodies, n, chars=chars))
+    assert every.exceptAll(counts).isEmpty() and counts.exceptAll(every).isEmpty()
+
+
+def test_scores_of_null_groups_ties_and_empty_documents(spark):
+    rows = [(i, None if i % 3 == 0 else f"g{i % 2}", i, [f"w{(i + p) % 9}" for p in range(i % 7)])
+            for i in range(60)] + [(60, "g0", 60, None), (61, "alone", 61, ["w1"])]
+    tokens = spark.createDataFrame(
+        rows, "doc_key bigint, group_key string, row_key bigint, tokens array<string>").repartition(5)
+    for n in (1, 3, 100):
+        grams = stage(ng.doc_ngrams(tokens), "grams")
+        top = stage(ng.top_grams(ng.gram_counts(grams), n), "top")
+        want = sm.similarity_columns(sm.match_counts(grams, top))
+        assert sorted(map(tuple, sm.score_documents(tokens, n).collect()), key=repr) == sorted(
+            map(tuple, want.collect()), key=repr)
