@@ -15,12 +15,13 @@ Language and source travel as digests too, seeded so that no two groups share on
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -31,8 +32,8 @@ MIN_DOCS = 10
 TOP_TERMS = 10
 SCALE = 1_000_000_000
 DIGEST_BITS = 64
-# Entries that a task counts before it writes them out.
-HELD_TERMS = 400_000
+# Bytes of texts that a task counts together.
+HELD_BYTES = 16 << 20
 # Cells of a block of terms by sources, and sources whose pairs are summed at a time.
 CELLS = 1 << 20
 TILE = 1024
@@ -42,10 +43,6 @@ _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else
                for b in range(256))
 
 
-def terms(text: bytes) -> list[bytes]:
-    return text.translate(_TERMS).split(b" ")
-
-
 def _groups(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     """lang, source and their digests lid and gid, and the seed that keeps the digests apart."""
     found = scratch.write(rows.select("lang", "source").distinct(), "groups")
@@ -74,42 +71,55 @@ def term_rows(rows: DataFrame, seed: int, bits: int = DIGEST_BITS) -> DataFrame:
     """
     mask = (1 << bits) - 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, int], tuple[Counter, Counter]] = {}
-
-        def flush() -> Iterator[pd.DataFrame]:
-            known: dict[bytes, int] = {}
-            for (lid, gid), (uses, docs) in held.items():
-                uses.pop(b"", None)
-                if uses:
-                    keys = list(uses)
-                    new = [k not in known for k in keys]
-                    known.update((k, xxhash.xxh64_intdigest(k) & mask)
-                                 for k, is_new in zip(keys, new) if is_new)
-                    digest = np.fromiter(map(known.__getitem__, keys), np.uint64, len(keys))
-                    yield pd.DataFrame({"lid": lid, "gid": gid, "digest": digest.view(np.int64),
-                                        "term": keys, "n": list(uses.values()),
-                                        "docs": list(map(docs.__getitem__, keys)), "named": new})
+    def counted(texts: list[bytes], lid: np.ndarray, gid: np.ndarray) -> pa.RecordBatch:
+        words = pc.split_pattern(pa.array(texts, pa.binary()), b" ")
+        sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        coded = words.flatten().dictionary_encode()
+        names, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        size = len(names)
+        pairs, uses = np.unique(np.repeat(np.arange(len(sizes)), sizes) * size + codes, return_counts=True)
+        empty = pc.index(names, pa.scalar(b"", pa.binary())).as_py()
+        doc, code = pairs // size, pairs % size
+        held = code != empty
+        doc, code, uses = doc[held], code[held], uses[held]
+        groups, first, group = np.unique(gid, return_index=True, return_inverse=True)
+        keys = group[doc] * size + code
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[:len(keys)])
+        code, owner = keys[starts] % size, keys[starts] // size
+        digest = np.fromiter((xxhash.xxh64_intdigest(k) & mask for k in names.to_pylist()), np.uint64, size)
+        named = np.zeros(len(code), bool)
+        named[np.unique(code, return_index=True)[1]] = True
+        n = np.add.reduceat(uses[order], starts) if len(starts) else uses
+        return pa.record_batch(
+            [pa.array(lid[first][owner]), pa.array(groups[owner]), pa.array(digest[code].view(np.int64)),
+             names.take(pa.array(code)), pa.array(n.astype(np.int64)),
+             pa.array(np.diff(starts, append=len(keys)).astype(np.int64)), pa.array(named)],
+            names=["lid", "gid", "digest", "term", "n", "docs", "named"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            out = counted([t for _, _, t in held], np.array([a for a, _, _ in held]),
+                          np.array([b for _, b, _ in held]))
+            for at in range(0, len(out), 1 << 16):
+                yield out.slice(at, 1 << 16)
             held.clear()
 
-        size = 0
         for b in batches:
-            for lid, gid, text in zip(b["lid"].tolist(), b["gid"].tolist(), b["raw"]):
-                found = held.get((lid, gid))
-                if found is None:
-                    found = held[(lid, gid)] = Counter(), Counter()
-                words = terms(text)
-                size -= len(found[0])
-                found[0].update(words)
-                found[1].update(set(words))
-                size += len(found[0])
-                if size >= HELD_TERMS:
+            for lid, gid, text in zip(b["lid"].to_pylist(), b["gid"].to_pylist(), b["raw"]):
+                held.append((lid, gid, text.as_py().translate(_TERMS)))
+                size += len(held[-1][2])
+                if size >= HELD_BYTES:
                     yield from flush()
                     size = 0
-        yield from flush()
+        if held:
+            yield from flush()
 
     return rows.select(_lid(seed).alias("lid"), _gid(seed).alias("gid"),
-                       F.col("text").cast("binary").alias("raw")).mapInPandas(
+                       F.col("text").cast("binary").alias("raw")).mapInArrow(
         run, "lid bigint, gid bigint, digest bigint, term binary, n bigint, docs bigint, "
              "named boolean")
 
@@ -123,11 +133,11 @@ def _kept(counts: DataFrame, min_docs: int) -> DataFrame:
 def kept_terms(found: DataFrame, min_docs: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Counts of kept terms (lid, gid, digest, sub, n, lang_n) and their texts (digest, sub, item)."""
     counts = scratch.write(found.groupBy("lid", "gid", "digest").agg(
-        F.sum("n").alias("n"), F.sum("docs").alias("docs")).withColumn("sub", F.lit(0)), "counts")
-    kept = scratch.write(_kept(counts, min_docs), "candidates")
+        F.sum("n").alias("n"), F.sum("docs").alias("docs")).withColumn("sub", F.lit(0)), "counts", free=True)
+    kept = scratch.write(_kept(counts, min_docs), "candidates", free=True)
     texts = scratch.write(found.where("named").select("digest", "term").join(
         kept.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(
-        F.min("term").alias("low"), F.max("term").alias("high")), "texts")
+        F.min("term").alias("low"), F.max("term").alias("high")), "texts", free=True)
     names = texts.where("low = high").select("digest", F.lit(0).alias("sub"), F.col("low").alias("item"))
     shared = texts.where("low != high").select("digest")
     if not shared.isEmpty():
@@ -141,7 +151,9 @@ def kept_terms(found: DataFrame, min_docs: int, scratch: Scratch) -> tuple[DataF
         kept = scratch.write(_kept(counts, min_docs), "kept")
         names = names.union(own.select("digest", "sub", F.col("term").alias("item")))
     rows = scratch.write(counts.join(kept, ["lid", "digest", "sub"]).select(
-        "lid", "gid", "digest", "sub", "n", "lang_n"), "rows")
+        "lid", "gid", "digest", "sub", "n", "lang_n"), "rows", free=True)
+    for table in (found, counts, kept):
+        scratch.drop(table)
     return rows, names.withColumn("item", F.col("item").cast("string"))
 
 
@@ -230,7 +242,7 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_
         F.explode(F.sequence(F.lit(0), F.floor((F.size("zeros") - 1) / TILE).cast("int"))).alias("tile")
     ).sortWithinPartitions("lid", "tile")
     sums = scratch.write(_pair_sums(vectors).groupBy("lid", "a", "b").agg(
-        F.sum("total").alias("total")), "sums")
+        F.sum("total").alias("total")), "sums", free=True)
     both = sums.union(sums.select("lid", "b", "a", "total")).select(
         "lid", F.col("a").cast("int").alias("place"), F.col("b").cast("int").alias("other_place"), "total")
     other = stats.select("lid", F.col("place").alias("other_place"), F.col("source").alias("item"))

@@ -98,3 +98,12 @@ def test_counts_are_shuffled_without_terms(spark, folder):
     counts = found.groupBy("lid", "gid", "digest").agg(F.sum("n"), F.sum("docs"))
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<lid:bigint,gid:bigint,digest:bigint,n:bigint,docs:bigint>" in plan
+
+
+def test_tables_that_no_later_step_reads_are_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("gradeloom.llm.common.shared_root", lambda _: str(tmp_path))
+    docs = spark.createDataFrame([("en", f"s{i % 2}", "same words") for i in range(4)],
+                                 "lang string, source string, text string")
+    assert dv.source_divergence(docs, 1).count() == 2
+    left = {path.name.rsplit("-", 1)[0] for path in tmp_path.glob("llm/*/*/*")}
+    assert "rows" in left and not left & {"terms", "counts", "candidates"}
