@@ -285,16 +285,20 @@ def gram_filter(top: DataFrame, n: int = 2) -> np.ndarray:
     return out
 
 
-def listed_grams(bodies: DataFrame, top: DataFrame, n: int = 2, chars: int = HELD_CHARS) -> DataFrame:
+def listed_grams(bodies: DataFrame, top: DataFrame | None, n: int = 2,
+                 chars: int = HELD_CHARS) -> DataFrame:
     """``doc_key, group_key, own_grams, gram, repeats``: a document's n-grams that may be in ``top``.
 
-    Others are left out by ``gram_filter``, all that are listed stay. ``own_grams`` is the number of
-    different n-grams of the document; one without any row of its own has a null ``gram``.
+    Others are left out by ``gram_filter``, all that are listed stay; without ``top`` all n-grams do.
+    ``own_grams`` is the number of different n-grams of the document; one without any row of its own
+    has a null ``gram``.
     """
-    held = bodies.sparkSession.sparkContext.broadcast(gram_filter(top, n))
+    held = None
+    if top is not None:
+        held = bodies.sparkSession.sparkContext.broadcast(gram_filter(top, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(held.value).view(bool)
+        bits = np.unpackbits(held.value).view(bool) if held is not None else np.ones(1, bool)
         for table in held_tables(batches, chars):
             found = Places(table["body"].combine_chunks(), n)
             keys = joined(found.docs, found.keys())

@@ -22,7 +22,7 @@ from gradeloom.operators.lexicon import keep_content_words
 from gradeloom.operators.models import assemble, fit_and_predict, weighted_train
 from gradeloom.operators.neighbours import nearest, vote
 from gradeloom.operators.ngrams import token_table
-from gradeloom.operators.similarity import score_documents
+from gradeloom.operators.similarity import prompt_tfidf, score_documents
 from gradeloom.operators.split import class_weights, stratified_split
 from gradeloom.sources.staging import stage, stage_by
 
@@ -63,7 +63,7 @@ EXPERIMENT = Settings(seed=EXPERIMENT_SEED, penalty_c=1.0)
 
 
 def tfidf(tokens: DataFrame) -> DataFrame:
-    """The TF-IDF score of a document against its prompt, which is defined as 1."""
+    """The reference's stub of a TF-IDF score, which is 1; the runs take ``prompt_tfidf``."""
     return tokens.select("doc_key", F.lit(1.0).alias("tfidf"))
 
 
@@ -104,13 +104,15 @@ def feature_table(filled: DataFrame, settings: Settings = Settings()) -> DataFra
 
 def similarity_table(filled: DataFrame, lexicon: DataFrame,
                      settings: Settings = EXPERIMENT) -> DataFrame:
-    """The five similarity columns per essay."""
+    """The five similarity columns per essay; TF-IDF is its cosine to the name of its prompt."""
     n, source = settings.n, list_source(filled, settings)
     tokens = stage_by(essay_tokens(filled), "tokens", "doc_key")
     plain = score_documents(tokens, n, source).select("doc_key", "similarity", "dice", "jaccard")
     content = score_documents(keep_content_words(tokens, lexicon), n, source).select(
         "doc_key", F.col("similarity").alias("nav_similarity"))
-    return plain.join(content, "doc_key").withColumn("tfidf", F.lit(1.0)).select(
+    names = stage(filled.select("prompt_name").distinct(), "prompts")
+    prompts = token_table(names, *["prompt_name"] * 4)
+    return plain.join(content, "doc_key").join(prompt_tfidf(tokens, prompts, source), "doc_key").select(
         F.col("doc_key").alias("essay_id"), *SIMILARITIES)
 
 

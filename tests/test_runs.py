@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +44,27 @@ def test_experiment_run(spark, folder, columns, fit_on):
           {"experiment_logistic"})
 
 
+def test_tfidf_of_the_experiment_is_the_cosine_to_the_prompt(spark):
+    words = {1: ["phones", "distract", "phones"], 2: ["driving", "phones"], 3: ["red"], 4: ["planet", "phones"]}
+    rows = [(i, i, " ".join(words.get(i, ())), "Phones and driving" if i < 4 else "Red planet") for i in range(1, 6)]
+    filled = stage(spark.createDataFrame(
+        [*rows, (6, 6, "red", None)], "essay_id bigint, row_id bigint, full_text string, prompt_name string"), "filled")
+    lexicon = spark.createDataFrame([("phones", "NOUN")], "token string, tag string")
+    got = {r.essay_id: r.tfidf for r in runs.similarity_table(filled, lexicon).collect()}
+    own = [*(words[i] if i in words else [] for i in range(1, 6)), ["red"]]
+
+    def weights(tokens):
+        return {t: tokens.count(t) * (math.log(7 / (1 + sum(t in o for o in own))) + 1) for t in tokens}
+
+    def cosine(a, b):
+        a, b = weights(a), weights(b)
+        return sum(v * b.get(t, 0) for t, v in a.items()) / math.hypot(*a.values()) / math.hypot(*b.values())
+
+    prompts = {i: ["phones", "driving"] if i < 4 else ["red", "planet"] for i in words}
+    assert got == pytest.approx({**{i: cosine(words[i], prompts[i]) for i in words}, 5: 0, 6: 0})
+    assert got[1] not in (0, 1) and got[3] == 0
+
+
 def test_sixteen_experiment_columns():
     assert len(runs.EXPERIMENT_COLUMNS) == 16 and len(runs.BASE_COLUMNS) == 9
 

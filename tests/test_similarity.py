@@ -233,6 +233,17 @@ def test_terms_of_a_document_are_counted_in_its_row(spark):
     assert got == {1: round(weights["y"] / math.hypot(*weights.values()), 6), 2: 1.0, 3: 0.0}
 
 
+def test_inverse_frequencies_come_from_the_given_documents(spark):
+    tokens = spark.createDataFrame(
+        [(1, "a", 1, ["x", "y"]), (2, "a", 2, ["y"]), (3, "a", 3, ["y", "z"])],
+        "doc_key bigint, group_key string, row_key bigint, tokens array<string>")
+    scored = sm.prompt_tfidf(tokens, tokens.where("doc_key = 3"), tokens.where("doc_key < 3").select("doc_key"))
+    x, y, z = (math.log(3 / (1 + docs)) + 1 for docs in (1, 2, 0))
+    norm = math.hypot(y, z)
+    assert {r.doc_key: r.tfidf for r in scored.collect()} == pytest.approx(
+        {1: y * y / math.hypot(x, y) / norm, 2: y / norm, 3: 1})
+
+
 def test_words_outside_a_dictionary_are_counted_in_their_row(spark):
     from gradeloom.operators.lexicon import unknown_word_counts
     docs = spark.createDataFrame([(1, "Ab ab, cd"), (2, "cd"), (3, None)], "id bigint, body string")
